@@ -9,8 +9,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 from cadenza import constants as C
 from cadenza.operators.profiling import activity, monthly, weekly
 
-ALL = Window.partitionBy()
-BY_MONTH = Window.orderBy("annee", "mois")
+
+def _all():
+    return Window.partitionBy()
+
+
+def _by_month():
+    return Window.orderBy("annee", "mois")
 
 
 def rolling(df: DataFrame, order: str, columns: list[str], width: int,
@@ -29,8 +34,8 @@ def weekly_rolling(main: DataFrame, width: int = 4) -> DataFrame:
 
 def week_outliers(main: DataFrame, limit: float = 2.0) -> DataFrame:
     """Weeks whose invoice count lies beyond ``limit`` deviations."""
-    z = ((F.col("nb_commandes") - F.avg("nb_commandes").over(ALL))
-         / F.stddev_samp("nb_commandes").over(ALL))
+    z = ((F.col("nb_commandes") - F.avg("nb_commandes").over(_all()))
+         / F.stddev_samp("nb_commandes").over(_all()))
     return (weekly(main).withColumn("z", z)
             .filter(F.abs("z") > limit)
             .select("week_end", "nb_commandes", "total_qte", "z"))
@@ -40,7 +45,7 @@ def month_changes(main: DataFrame) -> DataFrame:
     """Percent change to the previous and the twelfth-previous month row."""
     x = F.col("nb_commandes")
     def change(step):
-        old = F.lag("nb_commandes", step).over(BY_MONTH)
+        old = F.lag("nb_commandes", step).over(_by_month())
         return (x / old - 1) * 100
     return monthly(main).select("annee", "mois", "nb_commandes",
                                 change(1).alias("mom_pct"),
@@ -55,7 +60,7 @@ def profile(main: DataFrame) -> DataFrame:
         F.stddev_samp("nb_commandes").alias("std_commandes"))
     return months.withColumn(
         "seasonal_index",
-        F.col("avg_commandes") / F.avg("avg_commandes").over(ALL))
+        F.col("avg_commandes") / F.avg("avg_commandes").over(_all()))
 
 
 def month_variation(main: DataFrame) -> DataFrame:
@@ -77,7 +82,7 @@ def month_against_mean(main: DataFrame) -> DataFrame:
     """Mean line quantity per calendar month against the overall mean."""
     months = main.groupBy("mois").agg(
         F.count("quantite").alias("_n"), F.sum("quantite").alias("_q"))
-    overall = F.sum("_q").over(ALL) / F.sum("_n").over(ALL)
+    overall = F.sum("_q").over(_all()) / F.sum("_n").over(_all())
     return months.select(
         "mois", (F.col("_q") / F.col("_n")).alias("avg_qty"),
         overall.alias("overall_avg"),
@@ -126,7 +131,7 @@ def weekday_share(main: DataFrame) -> DataFrame:
     days = weekday_profile(main).dropna(subset=["nb_commandes"])
     return days.withColumn(
         "share_pct", F.col("nb_commandes") * 100.0
-        / F.sum("nb_commandes").over(ALL))
+        / F.sum("nb_commandes").over(_all()))
 
 
 def decompose(main: DataFrame, period: int = 12) -> DataFrame:
@@ -139,23 +144,23 @@ def decompose(main: DataFrame, period: int = 12) -> DataFrame:
     half = period // 2
     series = monthly(main).select(
         "annee", "mois", F.col("nb_commandes").cast("double").alias("observed"),
-        F.row_number().over(BY_MONTH).alias("_i"))
+        F.row_number().over(_by_month()).alias("_i"))
     row = Window.orderBy("_i")
     inner = F.sum("observed").over(row.rowsBetween(1 - half, half - 1))
     edges = (F.lag("observed", half).over(row)
              + F.lead("observed", half).over(row)) / 2
     series = series.withColumn("_trend", (inner + edges) / period)
     known = F.col("_trend").isNotNull()
-    first = F.min(F.when(known, F.col("_i"))).over(ALL)
-    last = F.max(F.when(known, F.col("_i"))).over(ALL)
+    first = F.min(F.when(known, F.col("_i"))).over(_all())
+    last = F.max(F.when(known, F.col("_i"))).over(_all())
     series = series.withColumns({"_first": first, "_last": last})
     head = F.when(F.col("_i") < F.col("_first") + period, F.col("_trend"))
     tail = F.when(F.col("_i") > F.col("_last") - period, F.col("_trend"))
 
     def line(y):
         x = F.when(y.isNotNull(), F.col("_i").cast("double"))
-        slope = F.regr_slope(y, x).over(ALL)
-        level = F.regr_intercept(y, x).over(ALL)
+        slope = F.regr_slope(y, x).over(_all())
+        level = F.regr_intercept(y, x).over(_all())
         return slope * F.col("_i") + level
 
     series = series.withColumns({"_head": line(head), "_tail": line(tail)})
@@ -167,7 +172,7 @@ def decompose(main: DataFrame, period: int = 12) -> DataFrame:
     phase = Window.partitionBy("_phase")
     series = series.withColumn(
         "_season", F.avg(F.col("observed") - F.col("trend")).over(phase))
-    centre = F.avg(F.when(F.col("_i") <= period, F.col("_season"))).over(ALL)
+    centre = F.avg(F.when(F.col("_i") <= period, F.col("_season"))).over(_all())
     return (series.withColumn("seasonal", F.col("_season") - centre)
             .withColumn("resid", F.col("observed") - F.col("trend")
                         - F.col("seasonal"))
@@ -209,8 +214,8 @@ def autocorrelation(main: DataFrame, max_lag: int = 24) -> DataFrame:
     """Autocorrelation of monthly invoices up to min(24, n/2 - 1)."""
     x = F.col("nb_commandes").cast("double")
     series = monthly(main).select(
-        F.row_number().over(BY_MONTH).alias("_i"),
-        (x - F.avg(x).over(ALL)).alias("_d"), F.count("*").over(ALL)
+        F.row_number().over(_by_month()).alias("_i"),
+        (x - F.avg(x).over(_all())).alias("_d"), F.count("*").over(_all())
         .alias("_n"))
     lagged = series.select(
         "_i", "_d", F.explode(F.expr(

@@ -1,4 +1,5 @@
 """All registered queries."""
 
-from cadenza.plans import catalog_cleaning, catalog_features  # noqa: F401
+from cadenza.plans import (  # noqa: F401
+    catalog_cleaning, catalog_features, catalog_profiles)
 from cadenza.plans.registry import QUERIES  # noqa: F401

@@ -20,8 +20,12 @@ def query(build: Callable[[Tables], DataFrame]):
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 4) -> DataFrame:
-    """Round computed doubles so that two engines print the same value."""
-    return df.withColumns({c: F.round(c, digits) for c in columns})
+    """Round computed doubles so that two engines print the same value.
+
+    The nudge moves values off exact decimal halves, where engines differ.
+    """
+    return df.withColumns({
+        c: F.round(F.col(c) + F.lit(1e-9), digits) for c in columns})
 
 
 def as_long(df: DataFrame, *columns: str) -> DataFrame:

@@ -24,8 +24,26 @@ def _needs(sql: str) -> list[str]:
     return seen
 
 
+def _nudged(sql: str) -> str:
+    """round(x, 4) -> round((x) + 1e-9, 4), as the queries do."""
+    out, at = "", 0
+    for found in re.finditer(r"\bround\(", sql):
+        if found.start() < at:
+            continue
+        depth, end = 1, found.end()
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        inner = sql[found.end():end - 1]
+        if inner.rstrip().endswith(", 4"):
+            inner = f"({_nudged(inner.rstrip()[:-3])}) + 1e-9, 4"
+        out += sql[at:found.end()] + inner + ")"
+        at = end
+    return out + sql[at:]
+
+
 def with_ctes(sql: str) -> str:
-    sql = sql.strip()
+    sql = _nudged(sql.strip())
     names = _needs(sql)
     if not names:
         return sql

@@ -1,9 +1,9 @@
 """All check statements, ready to run."""
 
-from oracle import cleaning, features
+from oracle import cleaning, features, profiles
 from oracle.base import with_ctes
 
-MODULES = (cleaning, features)
+MODULES = (cleaning, features, profiles)
 
 
 def statements() -> dict[str, str]:

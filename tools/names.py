@@ -1,0 +1,10 @@
+"""Print the query names of one catalog module."""
+
+import pathlib
+import re
+import sys
+
+ROOT = pathlib.Path(__file__).resolve().parent.parent / "cadenza" / "plans"
+for module in sys.argv[1:]:
+    text = (ROOT / f"catalog_{module}.py").read_text()
+    print(" ".join(re.findall(r"@query\ndef (\w+)", text)))
