@@ -1,8 +1,10 @@
 """Canonical tables built from one folder of test tables."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cadenza.operators import cleaning, joining
+from cadenza.functions import quantities as qty
+from cadenza.operators import (cleaning, entity_features, joining, ranking,
+                               visits)
 from cadenza.sources import extracts, testbed
 
 
@@ -35,3 +37,24 @@ class Tables:
     def main(self) -> DataFrame:
         return joining.main_table(self.lines(), self.invoices(),
                                   self.clients())
+
+    def visit_dataset(self) -> DataFrame:
+        return visits.visit_dataset(self.main())
+
+    def scored(self) -> DataFrame:
+        """Latest snapshots with a deterministic probability and quantity.
+
+        The reorder rate replaces the classifier and a blend of median and
+        last quantity the regressor (absent for some rows), so every later
+        step can be recomputed by another engine.
+        """
+        rows = ranking.latest_with_rate(self.visit_dataset())
+        products = entity_features.product_profile(
+            self.main(), testbed.REFERENCE_DATE).select(
+            "code_article", "is_new_product")
+        blend = F.col("median_qty") * 0.75 + F.col("last_qty") * 0.25
+        return (rows.join(products, "code_article", "left")
+                .withColumn("is_new_product", F.coalesce(
+                    "is_new_product", F.lit(False)))
+                .withColumn("regressor_qty", F.when(
+                    F.col("frequency") % 5 != 0, qty.served_quantity(blend))))
