@@ -1,6 +1,6 @@
 """All registered queries."""
 
 from cadenza.plans import (  # noqa: F401
-    catalog_cleaning, catalog_features, catalog_profiles,
+    catalog_cleaning, catalog_evaluation, catalog_features, catalog_profiles,
     catalog_proposals)
 from cadenza.plans.registry import QUERIES  # noqa: F401

@@ -4,9 +4,13 @@ import re
 
 CTES: dict[str, str] = {}
 
+# Computed once per statement and shielded from join reordering.
+SHARED = {"main", "day_hist", "day_month", "day_feat", "visit_hist",
+          "dataset", "matrix", "scored", "lin_unique"}
+
 
 def define(name: str, sql: str) -> None:
-    CTES[name] = sql.strip()
+    CTES[name] = _nudged(sql.strip())
 
 
 def _needs(sql: str) -> list[str]:
@@ -47,7 +51,9 @@ def with_ctes(sql: str) -> str:
     names = _needs(sql)
     if not names:
         return sql
-    parts = ",\n".join(f"{n} AS ({CTES[n]})" for n in names)
+    parts = ",\n".join(
+        f"{n} AS {'MATERIALIZED ' if n in SHARED else ''}({CTES[n]})"
+        for n in names)
     if sql.upper().startswith("WITH "):
         return f"WITH {parts},\n{sql[5:]}"
     return f"WITH {parts}\n{sql}"

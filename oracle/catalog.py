@@ -1,9 +1,9 @@
 """All check statements, ready to run."""
 
-from oracle import cleaning, features, profiles, proposals
+from oracle import cleaning, evaluation, features, profiles, proposals
 from oracle.base import with_ctes
 
-MODULES = (cleaning, features, profiles, proposals)
+MODULES = (cleaning, evaluation, features, profiles, proposals)
 
 
 def statements() -> dict[str, str]:
