@@ -92,7 +92,11 @@ def raw_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One request per event, with one or two items."""
+    return feedback_requests(table(spark, sf_dir, "events"))
+
+
+def feedback_requests(events: DataFrame) -> DataFrame:
+    """One request per event, with one or two items; batch or stream."""
     event, value = F.col("event_id"), F.col("value")
     first = F.struct(
         F.col("event_type").alias("code_article"),
@@ -100,11 +104,12 @@ def raw_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.ceil(value).cast("int").alias("quantite_finale"),
         (event % 4 == 0).alias("modifie"))
     second = F.struct(
-        F.lit("bundle").alias("code_article"),
+        F.concat(F.lit("Brand#"), (event % 25 + 1).cast("string"))
+        .alias("code_article"),
         (value > 20).alias("accepte"),
         F.floor(value).cast("int").alias("quantite_finale"),
         (event % 5 == 0).alias("modifie"))
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.concat(F.lit("C"), F.col("user_id").cast("string"))
         .alias("client_id"),
         F.concat(F.lit("R"), (event % 9).cast("string"))

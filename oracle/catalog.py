@@ -1,9 +1,10 @@
 """All check statements, ready to run."""
 
-from oracle import cleaning, evaluation, features, profiles, proposals
+from oracle import (cleaning, evaluation, features, feedback, profiles,
+                    proposals)
 from oracle.base import with_ctes
 
-MODULES = (cleaning, evaluation, features, profiles, proposals)
+MODULES = (cleaning, features, profiles, proposals, evaluation, feedback)
 
 
 def statements() -> dict[str, str]:
