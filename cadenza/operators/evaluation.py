@@ -7,6 +7,7 @@ from cadenza.functions import quantities as qty
 from cadenza.operators.ordered import (as_struct_scalar, quantiles,
                                        running_totals)
 from cadenza.operators.sampling import client_bucket
+from cadenza.session import write_and_read
 
 
 class EmptySplit(ValueError):
@@ -93,12 +94,12 @@ def ranking_quality(scores: DataFrame, score: str = "score",
     Rows are first counted per distinct score, then running totals are taken
     in score ranges, so no task sorts the whole table.
     """
-    counts = scores.groupBy(score).agg(
+    counts = write_and_read(scores.groupBy(score).agg(
         F.sum(label).cast("long").alias("pos"),
-        (F.count("*") - F.sum(label)).cast("long").alias("neg"))
-    totals = scores.agg(F.sum(label).cast("double").alias("p"),
-                        (F.count("*") - F.sum(label)).cast("double")
-                        .alias("n"))
+        (F.count("*") - F.sum(label)).cast("long").alias("neg")),
+        "score-counts")
+    totals = counts.agg(F.sum("pos").cast("double").alias("p"),
+                        F.sum("neg").cast("double").alias("n"))
     placed = running_totals(counts, score, ["pos", "neg"]).withColumn(
         "_t", as_struct_scalar(totals, "p", "n"))
     p, n = F.col("_t.p"), F.col("_t.n")

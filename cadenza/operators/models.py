@@ -202,8 +202,9 @@ def importances(model: PipelineModel, features: list[str], spark,
                 groups: dict[str, list[str]] | None = None,
                 near_zero: float = 0.001, alert: float = 0.10) -> DataFrame:
     """Importance per feature (and feature group), flags for noise."""
-    values = dict(zip(features, model.stages[-1].featureImportances.toArray()))
-    rows = [("feature", n, float(v), v < near_zero, False)
+    values = dict(zip(
+        features, model.stages[-1].featureImportances.toArray().tolist()))
+    rows = [("feature", n, v, v < near_zero, False)
             for n, v in values.items()]
     for name, members in (groups or {}).items():
         total = float(sum(values.get(m, 0.0) for m in members))

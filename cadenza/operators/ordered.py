@@ -5,10 +5,15 @@ table is first reduced to one row per distinct value, values are cut into
 ranges at approximate quantiles, range totals (a handful of rows) give each
 range its offset, and the running total is finished inside each range.  The
 cut points only balance the work; the result is exact whatever they are.
+
+The reduced table is written to the shared folder first: cut points, offsets
+and totals each read it, and none of them recomputes what produced it.
 """
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from cadenza.session import write_and_read
+
 RANGES = 64
 
 
@@ -38,6 +43,12 @@ def running_totals(df: DataFrame, value: str, measures: list[str],
 
     ``df`` holds one row per distinct ``value``.
     """
+    return _running(write_and_read(df, "distinct-values"), value, measures,
+                    ranges)
+
+
+def _running(df: DataFrame, value: str, measures: list[str], ranges: int,
+             ) -> DataFrame:
     cut = _cut(df, value, ranges)
     within = Window.partitionBy("_range").orderBy(value).rowsBetween(
         Window.unboundedPreceding, -1)
@@ -52,7 +63,8 @@ def running_totals(df: DataFrame, value: str, measures: list[str],
 def ranked(df: DataFrame, value: str, tie: str, name: str,
            ranges: int = RANGES) -> DataFrame:
     """1-based rank of every row by a numeric ``value``, then ``tie``."""
-    cut = _cut(df, value, ranges).withColumn("_one", F.lit(1).cast("long"))
+    cut = _cut(write_and_read(df, "ranked-values"), value, ranges).withColumn(
+        "_one", F.lit(1).cast("long"))
     within = Window.partitionBy("_range").orderBy(value, tie)
     joined = cut.join(F.broadcast(_offsets(cut, ["_one"])), "_range")
     return joined.withColumn(
@@ -72,9 +84,9 @@ def quantiles(df: DataFrame, value: str, shares: dict[str, float],
     Unlike a single ``percentile`` aggregate, no task holds all distinct
     values.
     """
-    counts = running_totals(value_counts(df, value), value, ["_n"])
-    total = df.agg(F.count(value))
-    placed = counts.withColumn("_total", total.scalar())
+    counts = write_and_read(value_counts(df, value), "value-counts")
+    placed = _running(counts, value, ["_n"], RANGES).withColumn(
+        "_total", counts.agg(F.sum("_n")).scalar())
     first, last = F.col("_n_before"), F.col("_n_before") + F.col("_n") - 1
     picks, results = [], []
     for name, share in shares.items():

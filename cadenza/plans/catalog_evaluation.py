@@ -2,13 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from cadenza import constants as C
+from cadenza import session
 from cadenza.functions import quantities as qty
-from cadenza.operators import (drift, evaluation as ev, feature_matrix as fm,
-                               models, visits)
+from cadenza.operators import drift, evaluation as ev, models, visits
 from cadenza.plans.registry import as_long, query, rounded
-from cadenza.sources.testbed import (REFERENCE_DATE, TRAIN_CUTOFF,
-                                     VALIDATION_CUTOFF)
+from cadenza.sources.testbed import TRAIN_CUTOFF, VALIDATION_CUTOFF
 
 
 def _scores(t):
@@ -28,7 +26,7 @@ def _sized_positives(t):
 
 @query
 def encode_category(t):
-    rows = t.visit_dataset().select("categorie")
+    rows = t.dataset_stage().select("categorie")
     encoded = models.encode_categories(rows, models.category_encoder(rows))
     return as_long(encoded.groupBy("categorie", "categorie_encoded").agg(
         F.count("*").alias("n_rows")), "categorie_encoded")
@@ -48,7 +46,7 @@ def group_split(t):
 
 @query
 def split_leak_check(t):
-    rows = visits.targets(t.main())
+    rows = session.write_and_read(visits.targets(t.main_stage()), "targets")
     by_date = ev.leak_check(ev.temporal_split(
         rows, TRAIN_CUTOFF, VALIDATION_CUTOFF))
     by_client = ev.leak_check(ev.group_split(rows))
@@ -58,7 +56,7 @@ def split_leak_check(t):
 
 @query
 def class_weight(t):
-    split = ev.temporal_split(visits.targets(t.main()), TRAIN_CUTOFF,
+    split = ev.temporal_split(visits.targets(t.main_stage()), TRAIN_CUTOFF,
                               VALIDATION_CUTOFF)
     return rounded(ev.class_weight(split.filter(F.col("part") == "train")),
                    "scale_pos_weight")
@@ -122,7 +120,7 @@ def case_rows(t):
 
 @query
 def winsorise(t):
-    full = fm.feature_matrix(t.main(), REFERENCE_DATE).select(
+    full = t.matrix_stage().select(
         "code_client", "code_article", "avg_qty", "max_qty")
     capped = drift.winsorise(drift.winsorise(full, "avg_qty", 0.95),
                              "max_qty", 0.99)

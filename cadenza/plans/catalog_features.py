@@ -3,8 +3,7 @@
 from pyspark.sql import functions as F
 
 from cadenza.functions import calendar as cal
-from cadenza.operators import (entity_features, feature_matrix as matrix,
-                               pair_features, visits as v)
+from cadenza.operators import entity_features, pair_features, visits as v
 from cadenza.operators import sampling
 from cadenza.plans.registry import as_long, query, rounded
 from cadenza.sources.testbed import REFERENCE_DATE
@@ -103,13 +102,13 @@ def client_geo(t):
 
 @query
 def product_profile(t):
-    return as_long(entity_features.product_profile(t.main(), REFERENCE_DATE),
+    return as_long(entity_features.product_profile(t.main_stage(), REFERENCE_DATE),
                    "days_since_first_order")
 
 
 @query
 def client_profile(t):
-    return rounded(entity_features.client_profile(t.main()),
+    return rounded(entity_features.client_profile(t.main_stage()),
                    "client_avg_basket_size")
 
 
@@ -121,14 +120,13 @@ MATRIX_INTS = ["recency_days", "company_encoded", "best_month",
 
 @query
 def feature_matrix(t):
-    return rounded(as_long(matrix.feature_matrix(t.main(), REFERENCE_DATE),
-                           *MATRIX_INTS), *MATRIX_DOUBLES)
+    return rounded(as_long(t.matrix(), *MATRIX_INTS), *MATRIX_DOUBLES)
 
 
 @query
 def negative_pairs(t):
     """Never-bought pairs, three per bought pair, with default features."""
-    full = matrix.feature_matrix(t.main(), REFERENCE_DATE)
+    full = t.matrix_stage()
     return rounded(as_long(
         sampling.negative_features(
             sampling.negative_pairs(full), full, REFERENCE_DATE),
@@ -144,22 +142,22 @@ def visits(t):
 
 @query
 def eligible_visits(t):
-    return v.eligible_visits(t.main())
+    return v.eligible_visits(t.main_stage())
 
 
 @query
 def visit_history(t):
-    return v.visit_history(t.main())
+    return v.visit_history(t.main_stage())
 
 
 @query
 def visit_state_asof(t):
-    return v.state_before(t.main())
+    return v.state_before(t.main_stage())
 
 
 @query
 def visit_candidates(t):
-    return v.candidates(t.main(), min_appearances=2)
+    return v.candidates(t.main_stage(), min_appearances=2)
 
 
 VISIT_DOUBLES = ["avg_qty", "std_qty", "avg_delay_days", "recency_relative",
@@ -169,23 +167,23 @@ VISIT_DOUBLES = ["avg_qty", "std_qty", "avg_delay_days", "recency_relative",
 @query
 def visit_features(t):
     return rounded(as_long(
-        v.visit_dataset(t.main()).drop("target_bought", "target_qty"),
+        t.visit_dataset().drop("target_bought", "target_qty"),
         "best_month"), *VISIT_DOUBLES)
 
 
 @query
 def visit_targets(t):
-    return as_long(v.targets(t.main()), "target_bought")
+    return as_long(v.targets(t.main_stage()), "target_bought")
 
 
 @query
 def visit_summary(t):
-    return rounded(v.summary(t.main()), "positive_rate")
+    return rounded(v.summary(t.main_stage()), "positive_rate")
 
 
 @query
 def positives(t):
-    rows = v.targets(t.main())
+    rows = v.targets(t.main_stage())
     return rounded(rows.agg(
         F.count("*").alias("n_rows"),
         F.count_if(F.col("target_qty") > 0).alias("n_positives"),

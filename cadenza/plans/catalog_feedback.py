@@ -130,8 +130,8 @@ def pair_state_stream(t):
 
 @query
 def cold_start_neighbours(t):
-    wanted = coldstart.new_clients(t.clients(), t.main())
-    known = entity_features.client_geo(t.main()).filter("has_gps")
+    wanted = coldstart.new_clients(t.clients(), t.main_stage())
+    known = entity_features.client_geo(t.main_stage()).filter("has_gps")
     return rounded(as_long(coldstart.nearest(known, wanted), "rang"),
                    "distance_km")
 
@@ -139,14 +139,14 @@ def cold_start_neighbours(t):
 @query
 def cold_start_clients(t):
     """Best sellers of the five nearest located clients."""
-    wanted = coldstart.new_clients(t.clients(), t.main())
-    known = entity_features.client_geo(t.main()).filter("has_gps")
+    wanted = coldstart.new_clients(t.clients(), t.main_stage())
+    known = entity_features.client_geo(t.main_stage()).filter("has_gps")
     return as_long(coldstart.neighbour_best_sellers(
-        coldstart.nearest(known, wanted), t.main()), "rang")
+        coldstart.nearest(known, wanted), t.main_stage()), "rang")
 
 
 @query
 def cold_start_products(t):
     return coldstart.new_product_targets(
-        t.main(), entity_features.product_profile(
-            t.main(), testbed.REFERENCE_DATE))
+        t.main_stage(), entity_features.product_profile(
+            t.main_stage(), testbed.REFERENCE_DATE))

@@ -6,7 +6,7 @@ quickly; all rows are used.
 
 from pyspark.sql import functions as F
 
-from cadenza import constants as C, session
+from cadenza import constants as C
 from cadenza.operators import feedback as fb, models as m, ranking
 from cadenza.plans.registry import query, rounded
 from cadenza.sources import testbed
@@ -16,10 +16,6 @@ CUTS = {"train_cutoff": TRAIN_CUTOFF, "validation_cutoff": VALIDATION_CUTOFF}
 QUICK = {"trees": 5, "depth": 4}
 
 
-def _dataset(t):
-    return session.write_and_read(t.visit_dataset(), "training-set")
-
-
 @query
 def train_classifier(t):
     return m.train_classifier(t.visit_dataset(), **CUTS, **QUICK)[1]
@@ -58,7 +54,7 @@ def model_metadata(t):
 @query
 def score_all(t):
     """Latest snapshots scored by both freshly trained models."""
-    rows = _dataset(t)
+    rows = t.dataset_stage()
     classifier, _ = m.train_classifier(rows, **CUTS, **QUICK)
     regressor, _ = m.train_regressor(rows, **QUICK)
     return m.score(ranking.latest_snapshot(rows), classifier,
@@ -70,7 +66,7 @@ def score_all(t):
 @query
 def what_if_sweep(t):
     """Predicted quantity while the last quantity varies."""
-    rows = _dataset(t)
+    rows = t.dataset_stage()
     regressor, _ = m.train_regressor(rows, **QUICK)
     return m.sweep(ranking.latest_snapshot(rows), regressor, "last_qty",
                    [9, 50, 100, 146, 200, 300, 500])
@@ -84,7 +80,7 @@ def cf_hybrid(t):
 @query
 def retrain(t):
     """Purchase model on order history plus feedback answers."""
-    rows = _dataset(t)
+    rows = t.dataset_stage()
     answers = fb.flatten(testbed.raw_feedback(t.spark, t.sf_dir))
     extra = fb.training_rows(answers, ranking.latest_snapshot(rows))
     both = rows.withColumn("weight", F.lit(1).cast("long")).unionByName(extra)

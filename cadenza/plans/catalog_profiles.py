@@ -3,11 +3,8 @@
 from pyspark.sql import functions as F
 
 from cadenza import constants as C
-from cadenza.operators import (feature_matrix as matrix, joining,
-                               profiling as p, seasonality as s)
-from cadenza.operators.pair_features import pair_variation
+from cadenza.operators import joining, profiling as p, seasonality as s
 from cadenza.plans.registry import as_long, query, rounded
-from cadenza.sources.testbed import REFERENCE_DATE
 
 YEARS = list(range(1995, 2002))
 
@@ -29,7 +26,7 @@ def dup_report(t):
 
 @query
 def describe_qty(t):
-    return rounded(p.describe(t.main(), "quantite"), "mean", "std")
+    return rounded(p.describe(t.main_stage(), "quantite"), "mean", "std")
 
 
 @query
@@ -40,13 +37,13 @@ def qty_thresholds(t):
 
 @query
 def qty_quantiles(t):
-    return rounded(p.tail_quantiles(t.main(), "quantite"),
+    return rounded(p.tail_quantiles(t.main_stage(), "quantite"),
                    "p50", "p90", "p95", "p99")
 
 
 @query
 def key_numbers(t):
-    return rounded(p.key_numbers(t.main()), "avg_qty_line",
+    return rounded(p.key_numbers(t.main_stage()), "avg_qty_line",
                    "avg_invoices_client", "avg_lines_invoice")
 
 
@@ -69,7 +66,7 @@ def client_cadence(t):
 
 @query
 def client_behaviour(t):
-    return rounded(p.client_behaviour(t.main()), "avg_days_between_orders")
+    return rounded(p.client_behaviour(t.main_stage()), "avg_days_between_orders")
 
 
 @query
@@ -79,18 +76,18 @@ def monthly_activity(t):
 
 @query
 def weekly_activity(t):
-    return p.weekly(t.main())
+    return p.weekly(t.main_stage())
 
 
 @query
 def weekly_rolling(t):
-    return rounded(s.weekly_rolling(t.main()), "nb_commandes_ma",
+    return rounded(s.weekly_rolling(t.main_stage()), "nb_commandes_ma",
                    "total_qte_ma", "nb_clients_ma")
 
 
 @query
 def week_outliers(t):
-    return rounded(s.week_outliers(t.main()), "z")
+    return rounded(s.week_outliers(t.main_stage()), "z")
 
 
 @query
@@ -100,7 +97,7 @@ def day_coverage(t):
 
 @query
 def gap_days(t):
-    return p.gap_days(t.main())
+    return p.gap_days(t.main_stage())
 
 
 @query
@@ -110,20 +107,20 @@ def month_year_pivot(t):
 
 @query
 def sparsity(t):
-    return rounded(p.sparsity(t.main()), "sparsity_pct")
+    return rounded(p.sparsity(t.main_stage()), "sparsity_pct")
 
 
 @query
 def feature_corr(t):
     return rounded(p.correlations(
-        matrix.feature_matrix(t.main(), REFERENCE_DATE),
+        t.matrix(),
         C.CORRELATED_FEATURES), "corr")
 
 
 @query
 def histograms(t):
     """Distributions of the feature matrix, clipped as in the reports."""
-    full = matrix.feature_matrix(t.main(), REFERENCE_DATE).withColumn(
+    full = t.matrix().withColumn(
         "cv", F.when(F.col("avg_qty") > 0, F.col("std_qty")
                      / F.col("avg_qty")).otherwise(F.lit(0.0)))
     return p.histograms(full, {
@@ -177,12 +174,12 @@ def month_vs_mean(t):
 
 @query
 def top_category_rows(t):
-    return as_long(s.top_category_months(t.main()), "annee", "mois")
+    return as_long(s.top_category_months(t.main_stage()), "annee", "mois")
 
 
 @query
 def category_season(t):
-    return rounded(as_long(s.category_season(t.main()), "mois"),
+    return rounded(as_long(s.category_season(t.main_stage()), "mois"),
                    "avg_lignes", "seasonal_index")
 
 
@@ -246,12 +243,12 @@ def top_lines(t):
 
 @query
 def pair_history(t):
-    return rounded(p.pair_history(t.main()), "avg_qty", "std_qty")
+    return rounded(p.pair_history(t.main_stage()), "avg_qty", "std_qty")
 
 
 @query
 def outlier_weight(t):
-    return rounded(p.outlier_weight(t.main(), "quantite"), "mean_qty",
+    return rounded(p.outlier_weight(t.main_stage(), "quantite"), "mean_qty",
                    "square_large", "square_normal", "large_vs_normal_pct")
 
 

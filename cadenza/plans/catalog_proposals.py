@@ -18,7 +18,7 @@ def latest_snapshot(t):
 
 @query
 def clients_directory(t):
-    main = t.main()
+    main = t.main_stage()
     rows = t.visit_dataset().select("code_client", "code_article",
                                     "target_bought")
     plain = rk.clients_directory(rows).drop("avg_basket", "has_gps")

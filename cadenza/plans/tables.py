@@ -3,16 +3,42 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cadenza.functions import quantities as qty
-from cadenza.operators import (cleaning, entity_features, joining, ranking,
-                               visits)
+from cadenza.operators import (cleaning, entity_features, feature_matrix,
+                               joining, ranking, visits)
+from cadenza.session import write_and_read
 from cadenza.sources import extracts, testbed
 
 
 class Tables:
-    """Lazy plans; nothing is read until a consumer runs."""
+    """Lazy plans, and stage tables for what several consumers share.
+
+    ``main`` and ``visit_dataset`` are plans.  ``main_stage``,
+    ``matrix_stage`` and ``dataset_stage`` write the table once to the shared
+    folder and read it back, so a job with several branches over the main
+    table builds it once and each branch reads only its own columns.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._stages: dict[str, DataFrame] = {}
+
+    def _stage(self, name: str, build) -> DataFrame:
+        if name not in self._stages:
+            self._stages[name] = write_and_read(build(), name)
+        return self._stages[name]
+
+    def main_stage(self) -> DataFrame:
+        return self._stage("main-table", self.main)
+
+    def matrix_stage(self) -> DataFrame:
+        return self._stage("feature-matrix", self.matrix)
+
+    def dataset_stage(self) -> DataFrame:
+        return self._stage("training-set", self.visit_dataset)
+
+    def matrix(self) -> DataFrame:
+        return feature_matrix.feature_matrix(self.main_stage(),
+                                             testbed.REFERENCE_DATE)
 
     def raw_invoices(self) -> DataFrame:
         return extracts.name_invoices(
@@ -39,7 +65,7 @@ class Tables:
                                   self.clients())
 
     def visit_dataset(self) -> DataFrame:
-        return visits.visit_dataset(self.main())
+        return visits.visit_dataset(self.main_stage())
 
     def scored(self) -> DataFrame:
         """Latest snapshots with a deterministic probability and quantity.
@@ -50,7 +76,7 @@ class Tables:
         """
         rows = ranking.latest_with_rate(self.visit_dataset())
         products = entity_features.product_profile(
-            self.main(), testbed.REFERENCE_DATE).select(
+            self.main_stage(), testbed.REFERENCE_DATE).select(
             "code_article", "is_new_product")
         blend = F.col("median_qty") * 0.75 + F.col("last_qty") * 0.25
         return (rows.join(products, "code_article", "left")
