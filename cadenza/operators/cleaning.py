@@ -60,13 +60,22 @@ def most_frequent(df: DataFrame, key: str, value: str) -> DataFrame:
         .alias(f"{value}_mode"))
 
 
-def impute_category(lines: DataFrame) -> DataFrame:
+def _lazy(df: DataFrame, name: str) -> DataFrame:
+    return df
+
+
+def impute_category(lines: DataFrame, stage=_lazy) -> DataFrame:
     """Fill a missing category from the product's most frequent one.
 
     Runs on the text as delivered, before trimming and upper-casing, so
-    spelling variants count separately.
+    spelling variants count separately.  With ``stage=write_and_read`` the
+    lines are deduplicated once although they are read twice, and the category
+    table has a known size: small, it is broadcast and the lines are not
+    shuffled by product; large, it is merged.
     """
-    modes = most_frequent(lines, "code_article", "categorie")
+    lines = stage(lines, "unique-lines")
+    modes = stage(most_frequent(lines, "code_article", "categorie"),
+                  "category-modes")
     return (lines.join(modes, "code_article", "left")
             .withColumn("categorie", F.coalesce("categorie", "categorie_mode"))
             .drop("categorie_mode"))
@@ -76,8 +85,9 @@ def keyed_lines(raw: DataFrame) -> DataFrame:
     return raw.dropna(subset=["code_facture", "code_article"])
 
 
-def clean_lines(raw: DataFrame, key: list[str] | None = None) -> DataFrame:
-    lines = impute_category(dedup_lines(keyed_lines(raw), key))
+def clean_lines(raw: DataFrame, key: list[str] | None = None,
+                stage=_lazy) -> DataFrame:
+    lines = impute_category(dedup_lines(keyed_lines(raw), key), stage)
     lines = lines.withColumns({
         "categorie": F.coalesce("categorie", F.lit(C.UNKNOWN_CATEGORY)),
         "designation": F.coalesce("designation", "code_article"),
@@ -100,16 +110,16 @@ def clean_clients(raw: DataFrame) -> DataFrame:
 
 
 def clean_all(invoices: DataFrame, lines: DataFrame, clients: DataFrame,
-              ) -> dict[str, DataFrame]:
+              stage=_lazy) -> dict[str, DataFrame]:
     return {
         "commandes_clean": clean_invoices(invoices),
-        "lignes_clean": clean_lines(lines),
+        "lignes_clean": clean_lines(lines, stage=stage),
         "gps_clean": clean_clients(clients),
     }
 
 
 def audit(raw_invoices: DataFrame, raw_lines: DataFrame,
-          raw_clients: DataFrame) -> DataFrame:
+          raw_clients: DataFrame, stage=_lazy) -> DataFrame:
     """One row per table: rows read, dropped, copies, filled, kept."""
     def invoice_like(df, table, keys):
         keyed = F.lit(True)
@@ -130,7 +140,7 @@ def audit(raw_invoices: DataFrame, raw_lines: DataFrame,
     keyed = keyed_lines(raw_lines)
     unique = dedup_lines(keyed)
     filled = impute_category(unique.withColumn(
-        "_no_category", F.col("categorie").isNull()))
+        "_no_category", F.col("categorie").isNull()), stage)
     after = filled.agg(
         F.count("*").alias("unique_rows"),
         F.count_if("_no_category").alias("categories_missing"),
@@ -162,13 +172,14 @@ def audit(raw_invoices: DataFrame, raw_lines: DataFrame,
             .unionByName(invoice_like(raw_clients, "gps", ["code_client"])))
 
 
-def uncategorised_by_invoice(raw_lines: DataFrame) -> DataFrame:
+def uncategorised_by_invoice(raw_lines: DataFrame,
+                             stage=_lazy) -> DataFrame:
     """Lines whose product has no known category, one row per invoice.
 
     Copies are removed first, so the joined text holds at most one entry per
     product of the invoice.
     """
-    left = (impute_category(dedup_lines(keyed_lines(raw_lines)))
+    left = (impute_category(dedup_lines(keyed_lines(raw_lines)), stage)
             .filter(F.col("categorie").isNull()))
     return left.groupBy("code_facture").agg(
         F.min("societe_ligne").alias("company"),

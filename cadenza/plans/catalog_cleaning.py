@@ -2,10 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from cadenza import schemas, session
 from cadenza.operators import cleaning, joining, profiling, sampling
-from cadenza.plans.registry import as_long, query, rounded
+from cadenza.plans.registry import query
 from cadenza.sources import sinks
-from cadenza import schemas, session
 
 
 @query
@@ -68,7 +68,7 @@ def clean_lines(t):
 def clean_all(t):
     """Rows and totals of the three cleaned tables."""
     tables = cleaning.clean_all(t.raw_invoices(), t.raw_lines(),
-                                t.raw_clients())
+                                t.raw_clients(), session.write_and_read)
     def measure(name, amount, keys):
         return tables[name].agg(
             F.lit(name).alias("table_name"), F.count("*").alias("n_rows"),
@@ -96,7 +96,8 @@ def dedup_lines(t):
 @query
 def impute_category(t):
     filled = cleaning.impute_category(
-        cleaning.dedup_lines(cleaning.keyed_lines(t.raw_lines())))
+        cleaning.dedup_lines(cleaning.keyed_lines(t.raw_lines())),
+        session.write_and_read)
     return (filled.withColumn("categorie",
                               F.coalesce("categorie", F.lit("UNKNOWN")))
             .groupBy("code_article", "categorie")
@@ -112,12 +113,14 @@ def bulk_flag(t):
 
 @query
 def clean_audit(t):
-    return cleaning.audit(t.raw_invoices(), t.raw_lines(), t.raw_clients())
+    return cleaning.audit(t.raw_invoices(), t.raw_lines(), t.raw_clients(),
+                          session.write_and_read)
 
 
 @query
 def uncategorised_by_invoice(t):
-    return cleaning.uncategorised_by_invoice(t.raw_lines())
+    return cleaning.uncategorised_by_invoice(t.raw_lines(),
+                                             session.write_and_read)
 
 
 @query

@@ -37,8 +37,8 @@ class Tables:
         return self._stage("training-set", self.visit_dataset)
 
     def matrix(self) -> DataFrame:
-        return feature_matrix.feature_matrix(self.main_stage(),
-                                             testbed.REFERENCE_DATE)
+        return feature_matrix.feature_matrix(
+            self.main_stage(), testbed.REFERENCE_DATE, stage=write_and_read)
 
     def raw_invoices(self) -> DataFrame:
         return extracts.name_invoices(
@@ -55,7 +55,7 @@ class Tables:
         return cleaning.clean_invoices(self.raw_invoices())
 
     def lines(self) -> DataFrame:
-        return cleaning.clean_lines(self.raw_lines())
+        return cleaning.clean_lines(self.raw_lines(), stage=write_and_read)
 
     def clients(self) -> DataFrame:
         return cleaning.clean_clients(self.raw_clients())
@@ -75,9 +75,9 @@ class Tables:
         step can be recomputed by another engine.
         """
         rows = ranking.latest_with_rate(self.visit_dataset())
-        products = entity_features.product_profile(
+        products = write_and_read(entity_features.product_profile(
             self.main_stage(), testbed.REFERENCE_DATE).select(
-            "code_article", "is_new_product")
+            "code_article", "is_new_product"), "new-products")
         blend = F.col("median_qty") * 0.75 + F.col("last_qty") * 0.25
         return (rows.join(products, "code_article", "left")
                 .withColumn("is_new_product", F.coalesce(
