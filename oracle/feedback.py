@@ -25,8 +25,8 @@ FROM (SELECT *, sum(opens) OVER w AS island FROM (
         SELECT *, (submitted_at >= coalesce(lag(submitted_at) OVER w
           + INTERVAL 6 HOUR, TIMESTAMP '1900-01-01'))::INTEGER AS opens
         FROM fb WINDOW w AS (PARTITION BY client_id ORDER BY submitted_at))
-      WINDOW w AS (PARTITION BY client_id ORDER BY submitted_at
-                   ROWS UNBOUNDED PRECEDING))
+      -- default frame: items of one instant are peers of one session
+      WINDOW w AS (PARTITION BY client_id ORDER BY submitted_at))
 GROUP BY client_id, island""")
 
 define("fb_days", """
