@@ -76,7 +76,7 @@ def acceptance_windows(t):
 
 @query
 def visit_sessions(t):
-    return fs.sessions(_rows(t), watermark=None)
+    return fb.sessions(_rows(t))
 
 
 @query

@@ -15,6 +15,9 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # merge a client's items into sessions before the shuffle
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition":
+        "true",
 }
 
 

@@ -81,10 +81,9 @@ def window_rates(rows: DataFrame, width: str, slide: str | None = None,
 
 
 def sessions(rows: DataFrame, gap: str = "6 hours",
-             watermark: str | None = WATERMARK) -> DataFrame:
-    """Visit sessions: a client's items no further apart than ``gap``."""
-    if watermark:
-        rows = _watermarked(rows, watermark)
+             watermark: str = WATERMARK) -> DataFrame:
+    """Visit sessions on the stream; see ``feedback.sessions`` for batch."""
+    rows = _watermarked(rows, watermark)
     span = F.session_window("submitted_at", gap)
     return rows.groupBy("client_id", span.alias("w")).agg(
         F.count("*").alias("n_items"),
