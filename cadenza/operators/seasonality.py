@@ -190,7 +190,7 @@ def strength(main: DataFrame) -> DataFrame:
 
 
 def kruskal(main: DataFrame) -> DataFrame:
-    """Kruskal-Wallis H over calendar months, corrected for ties."""
+    """Kruskal-Wallis H over calendar months, corrected for ties, and its p."""
     order = Window.orderBy("nb_commandes")
     same = Window.partitionBy("nb_commandes")
     ranks = monthly(main).select("mois", "nb_commandes").withColumns({
@@ -205,9 +205,24 @@ def kruskal(main: DataFrame) -> DataFrame:
         F.sum("_ties").alias("_ties"), (F.count("*") - 1).alias("df"))
     n = F.col("n")
     raw = 12 / (n * (n + 1)) * F.col("_s") - 3 * (n + 1)
-    return total.select(
+    out = total.select(
         (raw / (1 - F.col("_ties") / (n * n * n - n))).alias("h_stat"), "df",
         n.cast("long").alias("n_months"))
+    return out.withColumn("p_value", chi_square_tail(
+        F.col("h_stat"), F.col("df"))).withColumn(
+        "is_seasonal", F.col("p_value") < 0.05)
+
+
+def chi_square_tail(x, df, step: float = 0.01, points: int = 40000):
+    """P(chi-square > x) as a ratio of two midpoint sums of the density."""
+    def mass(start):
+        def add(total, i):
+            t = start + (i + 0.5) * step
+            return total + F.pow(t, df / 2 - 1) * F.exp(-t / 2)
+        return F.aggregate(F.sequence(F.lit(0), F.lit(points - 1)),
+                           F.lit(0.0), add)
+
+    return mass(F.greatest(x, F.lit(0.0))) / mass(F.lit(0.0))
 
 
 def autocorrelation(main: DataFrame, max_lag: int = 24) -> DataFrame:

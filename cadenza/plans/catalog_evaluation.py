@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from cadenza import session
 from cadenza.functions import quantities as qty
-from cadenza.operators import drift, evaluation as ev, models, visits
+from cadenza.operators import (drift, evaluation as ev, models, profiling,
+                               visits)
 from cadenza.plans.registry import as_long, query, rounded
 from cadenza.sources.testbed import TRAIN_CUTOFF, VALIDATION_CUTOFF
 
@@ -91,6 +92,12 @@ def error_quantiles(t):
                    "p99")
 
 
+@query
+def prediction_distribution(t):
+    return rounded(profiling.describe(_sized_positives(t), "prediction"),
+                   "mean", "std")
+
+
 @query
 def cv_threshold_eval(t):
     test = ev.group_split(_sized_positives(t)).filter(

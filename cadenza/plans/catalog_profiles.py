@@ -213,7 +213,7 @@ def month_cv(t):
 
 @query
 def kruskal_h(t):
-    return rounded(s.kruskal(t.main()), "h_stat")
+    return rounded(s.kruskal(t.main()), "h_stat", "p_value")
 
 
 @query

@@ -119,6 +119,13 @@ SELECT round(quantile_cont(e, 0.5), 4) AS p50,
   round(quantile_cont(e, 0.9), 4) AS p90,
   round(quantile_cont(e, 0.99), 4) AS p99
 FROM (SELECT abs(target_qty - prediction) AS e FROM pos_rows)"""
+SQL["prediction_distribution"] = """
+SELECT count(*) AS n, round(avg(prediction), 4) AS mean,
+  round(stddev_samp(prediction), 4) AS std, min(prediction) AS min,
+  quantile_cont(prediction, 0.25) AS p25,
+  quantile_cont(prediction, 0.5) AS p50,
+  quantile_cont(prediction, 0.75) AS p75, max(prediction) AS max
+FROM pos_rows"""
 _GUESSES = {"baseline": "historic_qty", "model": "prediction",
             "hybrid_cv_1.0":
                 "CASE WHEN cv > 1.0 THEN historic_qty ELSE prediction END",

@@ -332,12 +332,21 @@ WITH ranks AS (
 ties AS (SELECT sum(t * t * t - t)::DOUBLE AS s FROM (
   SELECT count(*) AS t FROM months GROUP BY nb_commandes)),
 size AS (SELECT count(*)::DOUBLE AS n FROM months)
-SELECT round((12 / (n * (n + 1)) * sum(q) - 3 * (n + 1))
-    / (1 - s / (n * n * n - n)), 4) AS h_stat,
-  count(*) - 1 AS df, n::BIGINT AS n_months
-FROM (SELECT mois, sum(r) * sum(r) / count(*) AS q FROM ranks GROUP BY mois),
-  ties, size
-GROUP BY n, s"""
+SELECT round(h, 4) AS h_stat, df, n::BIGINT AS n_months,
+  round(tail / whole, 4) AS p_value, tail / whole < 0.05 AS is_seasonal
+FROM (
+  SELECT h, df, n,
+    (SELECT sum(pow(h + (i + 0.5::DOUBLE) * 0.01::DOUBLE, df / 2 - 1)
+       * exp(-(h + (i + 0.5::DOUBLE) * 0.01::DOUBLE) / 2))
+     FROM range(0, 40000) AS r(i)) AS tail,
+    (SELECT sum(pow((i + 0.5::DOUBLE) * 0.01::DOUBLE, df / 2 - 1)
+       * exp(-((i + 0.5::DOUBLE) * 0.01::DOUBLE) / 2))
+     FROM range(0, 40000) AS r(i)) AS whole
+  FROM (SELECT (12 / (n * (n + 1)) * sum(q) - 3 * (n + 1))
+          / (1 - s / (n * n * n - n)) AS h, count(*) - 1 AS df, n
+        FROM (SELECT mois, sum(r) * sum(r) / count(*) AS q
+              FROM ranks GROUP BY mois), ties, size
+        GROUP BY n, s))"""
 SQL["acf"] = """
 WITH dev AS (SELECT i, observed - avg(observed) OVER () AS d FROM series)
 SELECT l.lag::BIGINT AS lag, round(sum(a.d * b.d)
