@@ -132,26 +132,33 @@ def _early_sum(entries: Column, lines: Column) -> Column:
 
 def pair_states(main: DataFrame) -> DataFrame:
     """State of every pair after each of its days, valid until ``_until``."""
-    run = _running()
     q, n = F.col("quantite"), F.col("n")
+    # one row per pair and day before anything runs: arrays below are built
+    # once per day, not once per line or quantity
+    days = order_counts(main).repartition(*PAIR).groupBy(
+        *PAIR, "date_commande").agg(
+        F.sum(n).alias("_dn"), F.sum(q * n).alias("_dq"),
+        F.sum(q * q * n).alias("_ds"), F.min(q).alias("_dmin"),
+        F.max(q).alias("_dmax"),
+        F.sort_array(F.collect_list(F.struct(q.alias("q"), n.alias("n"))))
+        .alias("_de"))
+    ordered = Window.partitionBy(*PAIR).orderBy("date_commande")
+    run = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     totals = {
-        "frequency": F.sum("n").over(run),
-        "total_qty": F.sum(q * n).over(run),
-        "_squares": F.sum(q * q * n).over(run),
-        "min_qty": F.min(q).over(run),
-        "max_qty": F.max(q).over(run),
+        "frequency": F.sum("_dn").over(run),
+        "total_qty": F.sum("_dq").over(run),
+        "_squares": F.sum("_ds").over(run),
+        "min_qty": F.min("_dmin").over(run),
+        "max_qty": F.max("_dmax").over(run),
         "_first": F.min("date_commande").over(run),
-        "_entries": F.collect_list(
-            F.struct(q.alias("q"), n.alias("n"))).over(run),
-        "_until": F.lead("date_commande").over(_ordered()),
+        "_entries": F.flatten(F.collect_list("_de").over(run)),
+        "_until": F.lead("date_commande").over(ordered),
     }
     for m in C.SEASON_COEFFICIENTS:
         here = F.month("date_commande") == m
-        totals[f"_q{m}"] = F.sum(F.when(here, q * n)).over(run)
-        totals[f"_n{m}"] = F.sum(F.when(here, n)).over(run)
-    after_day = order_counts(main).withColumns(totals).filter(
-        F.col("_until").isNull()
-        | (F.col("_until") > F.col("date_commande")))
+        totals[f"_q{m}"] = F.sum(F.when(here, F.col("_dq"))).over(run)
+        totals[f"_n{m}"] = F.sum(F.when(here, F.col("_dn"))).over(run)
+    after_day = days.withColumns(totals)
     freq, total = F.col("frequency"), F.col("total_qty")
     means = [(F.col(f"_q{m}") / F.col(f"_n{m}"), m)
              for m in C.SEASON_COEFFICIENTS]
@@ -167,7 +174,7 @@ def pair_states(main: DataFrame) -> DataFrame:
         (total / freq).alias("avg_qty"),
         _weighted_median(entries, freq).alias("median_qty"),
         F.sqrt(spread).alias("std_qty"), "min_qty", "max_qty", "total_qty",
-        "frequency", q.alias("last_qty"),
+        "frequency", F.col("_dmax").alias("last_qty"),
         F.greatest(gap, F.lit(1.0)).alias("avg_delay_days"),
         qty.trend(_early_sum(entries, freq), F.floor(freq / 2), total, freq)
         .alias("trend"),
