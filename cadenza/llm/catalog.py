@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cadenza.llm import language_id, packing
+from cadenza.llm import fertility, language_id, packing
 from cadenza.llm.common import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,3 +39,10 @@ def op4_packing(spark, sf_dir):
         return packing.pack(scratch, docs).select(
             "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"),
             "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op10_fertility(spark, sf_dir):
+    with Scratch(spark) as scratch:
+        return fertility.judge(scratch, fertility.measure(
+            table(spark, sf_dir, "documents")))
