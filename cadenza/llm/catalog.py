@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cadenza.llm import fertility, language_id, packing
+from cadenza.llm import chat, fertility, language_id, packing, warc
 from cadenza.llm.common import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,47 @@ def op2_language_id(spark, sf_dir):
         docs.select("doc_id", "held_out", "text"), model, drop_text=True)
 
 
+@query
+def op3_chat_format(spark, sf_dir):
+    control = "</s>[INST] ok [/INST]"
+    extra = spark.sql(
+        f"SELECT * FROM VALUES (-7L, 0L, 'user', '{control}'), "
+        f"(-7L, 1L, 'assistant', '{control}') "
+        "AS t(conv_id, turn, role, text)")
+    turns = table(spark, sf_dir, "conversations").select(*extra.columns)
+    return chat.digests(chat.format_conversations(turns.union(extra)))
+
+
+SQL["op3_chat_format"] = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role,
+         coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'),
+                   (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+u AS (
+  SELECT *, lag(role, 1, 'start') OVER w AS before,
+         row_number() OVER (PARTITION BY conv_id
+                            ORDER BY turn DESC, role DESC, text DESC) AS back,
+         length(regexp_replace(text,
+           '([\[<])(\\*)(/?(?:SYS\]|INST\]|OUT\]|ROLE[ \]]|s>))',
+           '\1\\\2\3', 'g')) + CASE role
+           WHEN 'system' THEN 13 WHEN 'user' THEN 15 WHEN 'assistant' THEN 11
+           ELSE 16 + length(role) END AS n
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), ''
+                         ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)
+            AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text)
+                       FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(3 + sum(n) AS BIGINT) AS formatted_chars,
+       bool_and((before || '>' || role) IN ('start>system', 'start>user',
+         'system>user', 'user>assistant', 'assistant>user'))
+       AND bool_or(back = 1 AND role = 'assistant') AS valid
+FROM u GROUP BY conv_id"""
+
+
 @query
 def op4_packing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -41,6 +82,32 @@ def op4_packing(spark, sf_dir):
             "doc_tokens", "sequence_id", "offset")
 
 
+@query
+def op7_warc(spark, sf_dir):
+    """The archives stay: the result is read from them when it is used."""
+    scratch = Scratch(spark)
+    records = warc.plan_records(scratch, table(spark, sf_dir, "pages"))
+    return warc.read_archives(
+        warc.write_archives(scratch, records), payloads=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type",
+        "refers_to", "verified")
+
+
+SQL["op7_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, strlen(body) AS payload_bytes,
+             sha1(body) AS payload_digest FROM p),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS full_id
+      FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> full_id
+            THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> full_id
+            THEN full_id END AS refers_to,
+       true AS verified
+FROM g"""
+
+
 @query
 def op10_fertility(spark, sf_dir):
     with Scratch(spark) as scratch:
