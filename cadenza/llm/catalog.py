@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cadenza.llm import chat, fertility, language_id, packing, warc
+from cadenza.llm import (chat, fertility, language_id, packing, url_filter,
+                         warc)
 from cadenza.llm.common import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +83,29 @@ def op4_packing(spark, sf_dir):
             "doc_tokens", "sequence_id", "offset")
 
 
+URL_RULES = url_filter.rules("block net/, allow example.net/en/, "
+                             "block example.com/de/, allow org/fr/")
+
+
+@query
+def op5_url_filter(spark, sf_dir):
+    """Labelled urls: the last number of a path is the page's document.
+
+    Blocked are low quality and toxic ones.
+    """
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = table(spark, sf_dir, "labels").select(
+        "doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1))
+        .cast("double").alias("label"))
+    number = F.regexp_extract(
+        url_filter.split_url(F.col("url"))[1], r"/([0-9]{1,18})[^/0-9]*/?$",
+        1).try_cast("long")
+    labelled = pages.withColumn("doc_id", number).join(labels, "doc_id")
+    scratch = Scratch(spark)
+    return url_filter.judge(pages, url_filter.fit(scratch, labelled),
+                            URL_RULES)
+
+
 @query
 def op7_warc(spark, sf_dir):
     """The archives stay: the result is read from them when it is used."""
