@@ -59,12 +59,21 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text",
         F.col(lang).alias("lang"), F.col(text).alias("text")).where(
         F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     keyed = labelled.withColumn("h", F.xxhash64("text"))
-    texts = keyed.select("lang", "h").distinct()
+    sizes = {row["lang"]: row["n"] for row in keyed.groupBy("lang").agg(
+        F.approx_count_distinct("h").alias("n")).collect()}
+    if not sizes:
+        return Model({}, min_margin)
+    # hashes below a language's limit hold about four times the sample
+    limits = F.create_map(*[F.lit(v) for name, n in sizes.items() for v in (
+        name, min(2 ** 63 - 1, -2 ** 63 + 2 ** 66 * SAMPLE_TEXTS
+                  // max(n, 1)))])
+    low = keyed.where(F.col("h") <= F.try_element_at(limits, F.col("lang")))
     first = Window.partitionBy("lang").orderBy("h")
-    chosen = (texts.withColumn("n", F.row_number().over(first))
+    chosen = (low.select("lang", "h").distinct()
+              .withColumn("n", F.row_number().over(first))
               .where(F.col("n") <= SAMPLE_TEXTS).select("lang", "h"))
     # bounded by languages x SAMPLE_TEXTS, whatever the number of rows
-    samples = (keyed.join(F.broadcast(chosen), ["lang", "h"])
+    samples = (low.join(F.broadcast(chosen), ["lang", "h"])
                .groupBy("lang", "h")
                .agg(F.min(F.substring("text", 1, SAMPLE_CHARS)).alias("t")))
     runs: dict[str, Counter] = {}
@@ -73,8 +82,6 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text",
         runs.setdefault(row["lang"], Counter()).update(
             {b" ".join(words[i:i + RUN_WORDS])
              for i in range(0, len(words), RUN_WORDS)})
-    sizes = {row["lang"]: row["n"] for row in texts.groupBy("lang").agg(
-        F.count(F.lit(1)).alias("n")).collect()}
     names = sorted(runs, key=lambda name: (-sizes[name], name))
     return Model({name: b" ".join(sorted(
         runs[name], key=lambda run: (runs[name][run], zlib.crc32(run), run)
