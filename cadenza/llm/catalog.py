@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cadenza.llm import (chat, fertility, language_id, packing, url_filter,
-                         warc)
+from cadenza.llm import (chat, fertility, language_id, minhash, packing,
+                         url_filter, warc)
 from cadenza.llm.common import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,6 +106,14 @@ def op5_url_filter(spark, sf_dir):
                             URL_RULES)
 
 
+@query
+def op6_near_duplicates(spark, sf_dir):
+    with Scratch(spark) as scratch:
+        return minhash.near_duplicates(
+            scratch, table(spark, sf_dir, "documents"),
+            minhash.Settings(words=2))
+
+
 @query
 def op7_warc(spark, sf_dir):
     """The archives stay: the result is read from them when it is used."""
