@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cadenza.llm import (chat, fertility, language_id, minhash, packing,
-                         url_filter, warc)
+from cadenza.llm import (chat, decontamination, fertility, language_id,
+                         minhash, packing, url_filter, warc)
 from cadenza.llm.common import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,6 +140,14 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM g"""
 
 
+@query
+def op9_decontamination(spark, sf_dir):
+    with Scratch(spark) as scratch:
+        return decontamination.contaminated(
+            scratch, table(spark, sf_dir, "documents"),
+            table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op10_fertility(spark, sf_dir):
     with Scratch(spark) as scratch:
