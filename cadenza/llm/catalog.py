@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cadenza.llm import (chat, decontamination, fertility, language_id,
-                         minhash, packing, url_filter, warc)
+                         minhash, packing, sharding, url_filter, warc)
 from cadenza.llm.common import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_sharding(spark, sf_dir):
+    with Scratch(spark) as scratch:
+        return sharding.shard(
+            scratch, table(spark, sf_dir, "documents"), shards=40).select(
+            "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"),
+            "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query
 def op2_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(
