@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cadenza.llm import (chat, decontamination, fertility, language_id,
-                         minhash, packing, sharding, url_filter, warc)
+                         line_dedup, minhash, packing, sharding, url_filter,
+                         warc)
 from cadenza.llm.common import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,9 +119,9 @@ def op5_url_filter(spark, sf_dir):
 @query
 def op6_near_duplicates(spark, sf_dir):
     with Scratch(spark) as scratch:
-        return minhash.near_duplicates(
+        return scratch.keep(minhash.near_duplicates(
             scratch, table(spark, sf_dir, "documents"),
-            minhash.Settings(words=2))
+            minhash.Settings(words=2)), "near-duplicates")
 
 
 @query
@@ -149,6 +150,16 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM g"""
 
 
+@query
+def op8_line_dedup(spark, sf_dir):
+    with Scratch(spark) as scratch:
+        docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+        return line_dedup.dedup_lines(scratch, docs).select(
+            "doc_id", "n_lines", "n_removed",
+            F.crc32("text").alias("text_crc32"),
+            F.length("text").cast("long").alias("n_chars"))
+
+
 @query
 def op9_decontamination(spark, sf_dir):
     with Scratch(spark) as scratch:

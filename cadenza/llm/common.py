@@ -12,6 +12,8 @@ from cadenza.session import scratch_path
 
 #: Bytes of text handled at once in a Python task.
 BATCH_BYTES = 4 << 20
+#: Rows of a few numbers that may be broadcast, about 50 MB.
+BROADCAST_ROWS = 1_000_000
 
 
 class Scratch:
@@ -89,6 +91,14 @@ def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start, rows)
 
 
+def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, a written table, to be broadcast if it has few rows.
+
+    Beyond ``most`` rows the join shuffles both sides.
+    """
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def number_rows(scratch: Scratch, df: DataFrame, order: list[Column],
                 name: str, groups: list[str] | None = None) -> DataFrame:
     """Add the long column ``name``: 0, 1, .. in ``order``, per group.

@@ -21,7 +21,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cadenza.llm.common import Scratch, connected_components
+from cadenza.llm.common import Scratch, bounded, connected_components
 
 #: Best partners of a member that the first and second round test.
 FIRST_PARTNERS, SECOND_PARTNERS = 4, 8
@@ -30,12 +30,14 @@ SECOND_PIVOTS = 4
 
 
 def shared_buckets(scratch: Scratch, members: DataFrame) -> DataFrame:
-    """The rows (bucket, id, ..) whose bucket holds two ids or more."""
-    shared = members.groupBy("bucket").agg(
-        F.min("id").alias("_low"), F.max("id").alias("_high")).where(
-        "_low <> _high").select("bucket")
-    shared = scratch.stage(shared, "shared-buckets")
-    return members.join(shared, "bucket")
+    """The rows (bucket, id, ..) whose bucket holds two ids or more.
+
+    An id is in a bucket once.
+    """
+    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    shared = scratch.stage(shared.where("n > 1").select("bucket"),
+                           "shared-buckets")
+    return members.join(bounded(shared), "bucket")
 
 
 def components(scratch: Scratch, members: DataFrame,

@@ -177,9 +177,9 @@ def near_duplicates(scratch: Scratch, docs: DataFrame, settings: Settings,
     A row without a word (null, empty, blank) is its own component.  Rows
     that repeat a doc_id and a text are kept or dropped together; null ids
     are never the smallest unless a component has no other.  An empty table
-    gives no row.
+    gives no row.  The result reads tables of ``scratch``.
     """
-    rows = scratch.keep(describe(docs, settings, doc_id, text), "sketches")
+    rows = scratch.stage(describe(docs, settings, doc_id, text), "sketches")
     classes = rows.where("n_shingles > 0").groupBy(
         "d1", "d2", "n_shingles").agg(
         F.min("row").alias("id"), F.min("doc_id").alias("first_doc"),
@@ -231,7 +231,7 @@ def near_duplicates(scratch: Scratch, docs: DataFrame, settings: Settings,
     labelled = labelled.withColumn("comp", F.coalesce("comp", "id"))
     smallest = labelled.groupBy("comp").agg(
         F.min("first_doc").alias("component_id"))
-    labelled = scratch.keep(labelled.join(smallest, "comp").select(
+    labelled = scratch.stage(labelled.join(smallest, "comp").select(
         "d1", "d2", "n_shingles", "component_id", F.lit(1).alias("has")),
         "components")
     return (rows.select("doc_id", "n_shingles", "d1", "d2")

@@ -146,7 +146,7 @@ def shard(scratch: Scratch, docs: DataFrame, shards: int | None = None,
         F.coalesce(F.crc32(F.col(text)), F.lit(0)).cast("long")
         .alias("text_crc32"), F.xxhash64(text).alias("h"),
         *[F.col(d).alias(f"dim{i}") for i, d in enumerate(dims)])
-    rows = scratch.keep(rows, "rows")
+    rows = scratch.stage(rows, "rows")
     total = rows.agg(F.sum("size")).first()[0] or 0
     if shards is None:
         shards = max(1, -(-total // (target_bytes or total or 1)))
