@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cadenza.llm import linking
-from cadenza.llm.common import Scratch, map_arrow
+from cadenza.llm.common import Scratch, bounded, map_arrow
 
 
 @dataclass(frozen=True)
@@ -167,6 +167,14 @@ def full_sets(docs: DataFrame, settings: Settings,
                      "d1 bigint, d2 bigint, items array<bigint>", work)
 
 
+def _own_shingles(sets: DataFrame) -> DataFrame:
+    """(id, own): the shingles of a set that no other set holds."""
+    held = sets.select("id", F.explode("items").alias("item")).groupBy(
+        "item").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
+    return held.where("n = 1").groupBy("id").agg(
+        F.count(F.lit(1)).alias("own"))
+
+
 def near_duplicates(scratch: Scratch, docs: DataFrame, settings: Settings,
                     doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row.
@@ -196,13 +204,18 @@ def near_duplicates(scratch: Scratch, docs: DataFrame, settings: Settings,
     # texts of the wanted classes, by the smallest doc_id of each; what else
     # carries that id falls out by its digest
     read = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text"))
-    ids = wanted.select(F.col("first_doc").alias("_id")).distinct()
-    texts = read.join(ids.alias("w"), read["_id"].eqNullSafe(F.col("w._id")),
-                      "left_semi")
+    ids = scratch.stage(wanted.select(F.col("first_doc").alias("_wanted"))
+                        .distinct(), "wanted-ids")
+    texts = read.join(bounded(ids), read["_id"].eqNullSafe(
+        F.col("_wanted")), "left_semi")
     sets = scratch.stage(
         full_sets(texts, settings).join(
-            wanted.select("id", "d1", "d2"), ["d1", "d2"])
+            bounded(wanted).select("id", "d1", "d2"), ["d1", "d2"])
         .dropDuplicates(["id"]).select("id", "items"), "sets")
+    members = scratch.stage(members.join(
+        bounded(scratch.stage(_own_shingles(sets), "own")), "id", "left")
+        .withColumn("shared", F.col("n_shingles") - F.coalesce(
+            "own", F.lit(0))).drop("own"), "members")
 
     def test(pairs: DataFrame) -> DataFrame:
         both = (pairs.join(sets.select(F.col("id").alias("a"),
@@ -220,9 +233,10 @@ def near_duplicates(scratch: Scratch, docs: DataFrame, settings: Settings,
             x = a("code")[i].bitwiseXOR(b("code")[i])
             far = far + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1))
                                     .bitwiseAND(F.lit(0x5555555555555555)))
-        low = F.least(a("n_shingles"), b("n_shingles"))
-        high = F.greatest(a("n_shingles"), b("n_shingles"))
-        return ((low * 100 >= high * settings.percent)
+        # an upper bound of the intersection: what others hold too
+        common = F.least(a("shared"), b("shared"))
+        union = a("n_shingles") + b("n_shingles") - common
+        return ((common * 100 >= union * settings.percent)
                 & (far <= settings.most_different)), far
 
     found = linking.components(scratch, members, near, test)
