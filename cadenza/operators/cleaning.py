@@ -7,6 +7,8 @@ from cadenza.functions import calendar as cal
 
 LINE_KEY = ["code_facture", "societe_ligne", "code_article"]
 
+# Position of a line in its file, if the extract has it.
+LINE_NUMBER = "numero_ligne"
 # Copies of a key are interchangeable up to these columns.
 LINE_ORDER = ["quantite", "designation", "categorie"]
 
@@ -35,13 +37,20 @@ def clean_invoices(raw: DataFrame) -> DataFrame:
 
 
 def dedup_lines(lines: DataFrame, key: list[str] | None = None) -> DataFrame:
-    """One line per (invoice, company, product): lowest by ``LINE_ORDER``.
+    """One line per (invoice, company, product): the first of its copies.
+
+    First is the lowest line number.  Lines without one, or equal in it, are
+    ordered by ``LINE_ORDER`` with positive quantities before zeros and
+    returns, so that a return never stands for a sale.
 
     Filtering the row number to 1 lets Spark keep one row per key in every
     map task before the shuffle, so a heavily copied key stays small.  Pass
     ``key=["code_facture", "code_article"]`` to ignore the company.
     """
+    number = [LINE_NUMBER] if LINE_NUMBER in lines.columns else []
+    sale = F.coalesce(F.col("quantite") > 0, F.lit(False))
     window = Window.partitionBy(*(key or LINE_KEY)).orderBy(
+        *[F.col(c).asc_nulls_last() for c in number], sale.desc(),
         *[F.col(c).asc_nulls_last() for c in LINE_ORDER])
     return (lines.withColumn("_copy", F.row_number().over(window))
             .filter(F.col("_copy") == 1).drop("_copy"))
@@ -97,7 +106,7 @@ def clean_lines(raw: DataFrame, key: list[str] | None = None,
     return (lines
             .withColumn("categorie", F.upper("categorie"))
             .withColumn("is_bulk_order", bulk_flag())
-            .filter(F.col("quantite") > 0))
+            .filter(F.col("quantite") > 0).drop(LINE_NUMBER))
 
 
 def bulk_flag(threshold: float = C.BULK_QUANTITY):

@@ -10,21 +10,41 @@ The reduced table is written to the shared folder first: cut points, offsets
 and totals each read it, and none of them recomputes what produced it.
 """
 
+import math
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cadenza.session import write_and_read
 
-RANGES = 64
+#: Distinct values of one range, and the most ranges that are cut.
+RANGE_ROWS = 50_000
+MOST_RANGES = 4096
+
+
+def _ranges(df: DataFrame) -> int:
+    """Enough ranges for a written table of distinct values."""
+    return max(8, min(MOST_RANGES, -(-df.count() // RANGE_ROWS)))
 
 
 def _cut(df: DataFrame, value: str, ranges: int) -> DataFrame:
-    """Add ``_range``: how many of the cut points lie below ``value``."""
+    """Add ``_range``: how many of the cut points lie below ``value``.
+
+    The points are searched in two steps of about the square root of their
+    number.
+    """
     shares = [i / ranges for i in range(1, ranges)]
-    cuts = df.agg(F.percentile_approx(value, shares, 1000).alias("_cuts"))
+    cuts = df.agg(F.percentile_approx(value, shares, 10000).alias("_cuts"))
+    step = math.isqrt(ranges - 1) + 1
+
+    def below(points):
+        return F.size(F.filter(points, lambda c: c < F.col(value)))
+
+    coarse = F.filter("_cuts", lambda _, i: (i + 1) % step == 0)
     return (df.withColumn("_cuts", cuts.scalar())
-            .withColumn("_range", F.size(F.filter(
-                "_cuts", lambda c: c < F.col(value))))
-            .drop("_cuts"))
+            .withColumn("_block", below(coarse))
+            .withColumn("_range", F.col("_block") * step + below(F.slice(
+                F.col("_cuts"), F.col("_block") * step + 1, F.lit(step))))
+            .drop("_cuts", "_block"))
 
 
 def _offsets(cut: DataFrame, measures: list[str]) -> DataFrame:
@@ -38,13 +58,13 @@ def _offsets(cut: DataFrame, measures: list[str]) -> DataFrame:
 
 
 def running_totals(df: DataFrame, value: str, measures: list[str],
-                   ranges: int = RANGES) -> DataFrame:
+                   ranges: int | None = None) -> DataFrame:
     """Add ``<measure>_before``: the measure's sum over smaller values.
 
     ``df`` holds one row per distinct ``value``.
     """
-    return _running(write_and_read(df, "distinct-values"), value, measures,
-                    ranges)
+    df = write_and_read(df, "distinct-values")
+    return _running(df, value, measures, ranges or _ranges(df))
 
 
 def _running(df: DataFrame, value: str, measures: list[str], ranges: int,
@@ -52,7 +72,7 @@ def _running(df: DataFrame, value: str, measures: list[str], ranges: int,
     cut = _cut(df, value, ranges)
     within = Window.partitionBy("_range").orderBy(value).rowsBetween(
         Window.unboundedPreceding, -1)
-    # the offsets have at most ``ranges`` rows: a fixed bound
+    # the offsets have at most MOST_RANGES rows
     joined = cut.join(F.broadcast(_offsets(cut, measures)), "_range")
     return joined.withColumns({
         f"{m}_before": F.col(f"_{m}_offset") + F.coalesce(
@@ -61,9 +81,10 @@ def _running(df: DataFrame, value: str, measures: list[str], ranges: int,
 
 
 def ranked(df: DataFrame, value: str, tie: str, name: str,
-           ranges: int = RANGES) -> DataFrame:
+           ranges: int | None = None) -> DataFrame:
     """1-based rank of every row by a numeric ``value``, then ``tie``."""
-    cut = _cut(write_and_read(df, "ranked-values"), value, ranges).withColumn(
+    df = write_and_read(df, "ranked-values")
+    cut = _cut(df, value, ranges or _ranges(df)).withColumn(
         "_one", F.lit(1).cast("long"))
     within = Window.partitionBy("_range").orderBy(value, tie)
     joined = cut.join(F.broadcast(_offsets(cut, ["_one"])), "_range")
@@ -85,7 +106,7 @@ def quantiles(df: DataFrame, value: str, shares: dict[str, float],
     values.
     """
     counts = write_and_read(value_counts(df, value), "value-counts")
-    placed = _running(counts, value, ["_n"], RANGES).withColumn(
+    placed = _running(counts, value, ["_n"], _ranges(counts)).withColumn(
         "_total", counts.agg(F.sum("_n")).scalar())
     first, last = F.col("_n_before"), F.col("_n_before") + F.col("_n") - 1
     picks, results = [], []

@@ -208,11 +208,12 @@ def pair_matrix(main: DataFrame, reference_date: str,
     pair together; window and final aggregate both reuse the second.
     """
     day = F.col("date_commande")
-    code = F.coalesce(company_code(codes), F.lit(7))
-    counts = order_counts(
-        main.withColumn("_code", code),
-        {"_code": F.min("_code")})
-    rows = _positions(counts).withColumns({
+    counts = order_counts(main, {"_company": F.min("societe")})
+    # deviations are summed from the pair's smallest quantity on: equal
+    # quantities give exact zeros, and large ones keep their digits
+    lowest = F.min("quantite").over(Window.partitionBy(*PAIR))
+    rows = _positions(counts).withColumn(
+        "_above", F.col("quantite") - lowest).withColumns({
         "_w": F.col("quantite") * F.col("n"),
         "_early": _early_quantity(),
         "_month": F.month(day),
@@ -226,17 +227,18 @@ def pair_matrix(main: DataFrame, reference_date: str,
     q, n = F.col("quantite"), F.col("n")
     stats = rows.groupBy(*PAIR).agg(
         F.sum("n").alias("frequency"), F.sum("_w").alias("total_qty"),
-        F.sum(q * q * n).alias("_squares"),
+        F.sum(F.col("_above") * n).alias("_above_sum"),
+        F.sum(F.col("_above") * F.col("_above") * n).alias("_squares"),
         F.min(q).alias("min_qty"), F.max(q).alias("max_qty"),
         F.percentile(q, 0.5, n).alias("median_qty"),
         F.max_by(q, F.struct(day, q)).alias("last_qty"),
         F.min(day).alias("_first"), F.max(day).alias("_last"),
         F.sum("_early").alias("_early"),
-        F.min(F.struct(day, F.col("_code")))["_code"].alias("_code"),
+        F.min(F.struct(day, F.col("_company")))["_company"]
+        .alias("societe"),
         *[c.alias(k) for k, c in per_month.items()])
     freq, total = F.col("frequency"), F.col("total_qty")
-    spread = ((freq * F.col("_squares") - total * total)
-              / (freq * (freq - 1)))
+    spread = variance(freq, F.col("_above_sum"), F.col("_squares"), freq - 1)
     coefs = C.SEASON_COEFFICIENTS
     weighted = sum((F.coalesce(F.col(f"_n{m}"), F.lit(0)) * F.lit(c)
                     for m, c in coefs.items()), F.lit(0.0))
@@ -252,7 +254,7 @@ def pair_matrix(main: DataFrame, reference_date: str,
                     F.lit(C.DEFAULT_GAP_DAYS)),
                 "trend": qty.trend(F.col("_early"), F.floor(freq / 2), total,
                                    freq),
-                "company_encoded": F.when(F.col("_code") < 7, F.col("_code")),
+                "company_encoded": company_code(codes),
                 "avg_seasonal_coef": weighted / freq,
                 "best_month": first_maximum(means),
                 "current_month_coef": cal.season_coefficient(F.month(ref)),
@@ -266,6 +268,12 @@ def pair_matrix(main: DataFrame, reference_date: str,
                     "avg_seasonal_coef", "best_month"))
 
 
+def variance(n: Column, total: Column, squares: Column,
+             divisor: Column) -> Column:
+    """From sums of deviations from any one value; rounding stays above 0."""
+    return F.greatest(squares - total * total / n, F.lit(0.0)) / divisor
+
+
 def first_maximum(candidates: list[tuple[Column, int]]) -> Column:
     """Label of the greatest non-null value; the earliest label wins ties."""
     values = [v for v, _ in candidates]

@@ -1,6 +1,6 @@
 """Profiles, quality reports and business numbers."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from cadenza.functions import calendar as cal, quantities as qty
 from cadenza.operators.entity_features import client_profile
@@ -282,7 +282,16 @@ def gap_days(main: DataFrame) -> DataFrame:
     return spine.join(days, "day", "left_anti")
 
 
-def month_year_pivot(main: DataFrame, years: list[int]) -> DataFrame:
+def order_years(main: DataFrame) -> list[int]:
+    """Years with orders, few by the calendar."""
+    return sorted(r["annee"] for r in
+                  main.select("annee").distinct().collect())
+
+
+def month_year_pivot(main: DataFrame,
+                     years: list[int] | None = None) -> DataFrame:
+    """One pair of columns per year: those given, or all that have orders."""
+    years = order_years(main) if years is None else years
     return monthly(main).groupBy("mois").pivot("annee", years).agg(
         F.max("nb_commandes").alias("cmd"), F.max("total_qte").alias("qte"))
 
@@ -336,7 +345,10 @@ def top_lines(main: DataFrame, k: int = 20) -> DataFrame:
 
 
 def pair_history(main: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """Order lines of the given (or all) pairs with the pair's statistics."""
+    """Order lines of the given (or all) pairs with the pair's statistics.
+
+    ``position`` numbers a pair's lines by date, invoice and company.
+    """
     keys = ["code_client", "code_article"]
     rows = main if pairs is None else main.join(pairs, keys, "left_semi")
     stats = rows.groupBy(*keys).agg(
@@ -345,8 +357,12 @@ def pair_history(main: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
         F.median("quantite").alias("median_qty"),
         F.stddev_pop("quantite").alias("std_qty"),
         F.max("date_commande").alias("last_date"))
-    return rows.select(*keys, "date_commande", "code_facture", "societe",
-                       "quantite").join(stats, keys)
+    order = Window.partitionBy(*keys).orderBy(
+        "date_commande", "code_facture", "societe", "quantite")
+    return rows.select(
+        *keys, "date_commande", "code_facture", "societe", "quantite",
+        F.row_number().over(order).cast("long").alias("position")).join(
+        stats, keys)
 
 
 def outlier_weight(df: DataFrame, column: str, large: float = 20) -> DataFrame:

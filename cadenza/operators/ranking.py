@@ -115,9 +115,10 @@ def order_proposal(scored: DataFrame, threshold: float = 0.50) -> DataFrame:
         F.count("*").alias("n_analysed"),
         F.count_if(chosen).alias("n_proposed"))
     return (scored.filter(chosen).join(counts, "code_client").select(
-        "code_client", F.substring("code_article", 1, 15)
-        .alias("code_article"),
-        F.substring("designation", 1, 28).alias("designation"),
+        "code_client", "code_article", "designation",
+        # cut for printing only
+        F.substring("code_article", 1, 15).alias("article_court"),
+        F.substring("designation", 1, 28).alias("designation_courte"),
         F.round(probability * 100, 1).alias("score_pct"),
         F.when(probability >= C.HIGH_PRIORITY_PROBABILITY, C.PRIORITY_HIGH)
         .otherwise(C.PRIORITY_SECONDARY).alias("statut"),
@@ -125,11 +126,12 @@ def order_proposal(scored: DataFrame, threshold: float = 0.50) -> DataFrame:
 
 
 def clients_directory(dataset: DataFrame, limit: int | None = None,
-                      ) -> DataFrame:
+                      profile: DataFrame | None = None) -> DataFrame:
     """Candidate rows and purchases per client, most active first.
 
-    ``client_avg_basket_size`` and ``has_gps`` are used if present, else the
-    basket is 1 and the flag false.
+    ``profile`` has one row per client with ``client_avg_basket_size`` and
+    ``has_gps``; without it, or for a client it lacks, the columns of
+    ``dataset`` are used if present, else the basket is 1 and the flag false.
     """
     columns = dataset.columns
     basket = (F.max("client_avg_basket_size")
@@ -138,8 +140,16 @@ def clients_directory(dataset: DataFrame, limit: int | None = None,
     out = dataset.groupBy("code_client").agg(
         F.count("code_article").alias("total_products"),
         F.sum("target_bought").alias("bought_products"),
-        basket.alias("avg_basket"), gps.alias("has_gps"),
-    ).orderBy(F.desc("bought_products"), F.desc("total_products"),
+        basket.alias("avg_basket"), gps.alias("has_gps"))
+    if profile is not None:
+        known = profile.select(
+            "code_client", F.col("client_avg_basket_size").alias("_basket"),
+            F.col("has_gps").alias("_gps"))
+        out = out.join(known, "code_client", "left").select(
+            "code_client", "total_products", "bought_products",
+            F.coalesce("_basket", "avg_basket").alias("avg_basket"),
+            F.coalesce("_gps", "has_gps").alias("has_gps"))
+    out = out.orderBy(F.desc("bought_products"), F.desc("total_products"),
               "code_client")
     return out.limit(limit) if limit else out
 

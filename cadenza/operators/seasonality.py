@@ -4,6 +4,8 @@ Every function here starts from one row per month, week or weekday, a size set
 by the calendar and not by the data, so unpartitioned windows are safe.
 """
 
+import math
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cadenza import constants as C
@@ -94,18 +96,20 @@ def top_categories(main: DataFrame, k: int = 5) -> DataFrame:
             .orderBy(F.desc("n_lines"), "categorie").limit(k))
 
 
-def top_category_months(main: DataFrame, k: int = 5) -> DataFrame:
-    """Lines per month of the k largest categories.
+def top_category_months(main: DataFrame, k: int | None = 5) -> DataFrame:
+    """Lines per month of the k largest categories, or of all.
 
     Lines are counted per (category, month) before the semi join, which then
     handles a few rows per category.
     """
     counts = main.groupBy("categorie", "annee", "mois").agg(
         F.count("*").alias("nb_lignes"))
+    if k is None:
+        return counts
     return counts.join(top_categories(main, k), "categorie", "left_semi")
 
 
-def category_season(main: DataFrame, k: int = 5) -> DataFrame:
+def category_season(main: DataFrame, k: int | None = 5) -> DataFrame:
     """Mean lines and season coefficient per category and calendar month."""
     category = Window.partitionBy("categorie")
     months = top_category_months(main, k).groupBy("categorie", "mois").agg(
@@ -213,16 +217,33 @@ def kruskal(main: DataFrame) -> DataFrame:
         "is_seasonal", F.col("p_value") < 0.05)
 
 
-def chi_square_tail(x, df, step: float = 0.01, points: int = 40000):
-    """P(chi-square > x) as a ratio of two midpoint sums of the density."""
-    def mass(start):
-        def add(total, i):
-            t = start + (i + 0.5) * step
-            return total + F.pow(t, df / 2 - 1) * F.exp(-t / 2)
-        return F.aggregate(F.sequence(F.lit(0), F.lit(points - 1)),
-                           F.lit(0.0), add)
+def chi_square_tail(x, df, terms: int = 2000):
+    """P(chi-square > x): one less the series of the incomplete gamma.
 
-    return mass(F.greatest(x, F.lit(0.0))) / mass(F.lit(0.0))
+    The series t^a e^-t / gamma(a + 1) * (1 + t/(a+1) + t^2/((a+1)(a+2)) ..)
+    with a = df / 2 and t = x / 2 is summed for ``terms`` terms, which settles
+    it for t up to about 1800; beyond, the tail is 0 for any df of months.
+    """
+    a, t = df / 2, F.greatest(x, F.lit(0.0)) / 2
+    # ln gamma(a + 1) for halves: a (a-1) .. down to 1, or 1/2 and sqrt(pi)
+    steps = F.sequence(F.lit(0), F.greatest(
+        F.ceil(a) - 1, F.lit(0)).cast("int"))
+    log_gamma = F.aggregate(
+        steps, F.when(df % 2 == 1, F.lit(math.log(math.pi) / 2))
+        .otherwise(F.lit(0.0)), lambda total, i: total + F.log(F.greatest(
+            a - i, F.lit(0.5))))
+    begin = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+
+    def add(state, i):
+        term = state["term"] * t / (a + i)
+        return F.struct(term.alias("term"),
+                        (state["sum"] + term).alias("sum"))
+
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), begin, add,
+                         lambda state: state["sum"])
+    below = F.exp(a * F.log(t) - t - log_gamma + F.log(series))
+    return F.when(t <= 0, 1.0).otherwise(F.least(F.greatest(
+        1 - below, F.lit(0.0)), F.lit(1.0)))
 
 
 def autocorrelation(main: DataFrame, max_lag: int = 24) -> DataFrame:

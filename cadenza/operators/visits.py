@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cadenza import constants as C
 from cadenza.functions import calendar as cal, quantities as qty
 from cadenza.operators.pair_features import (
-    PAIR, _ordered, _running, first_maximum, gap_mean, order_counts)
+    PAIR, _ordered, _running, first_maximum, gap_mean, order_counts, variance)
 
 VISIT = ["code_facture", "societe"]
 
@@ -137,10 +137,15 @@ def pair_states(main: DataFrame) -> DataFrame:
     q, n = F.col("quantite"), F.col("n")
     # one row per pair and day before anything runs: arrays below are built
     # once per day, not once per line or quantity
-    days = order_counts(main).repartition(*PAIR).groupBy(
+    # deviations are summed from the pair's smallest quantity on, see
+    # pair_features.pair_matrix; any constant gives the same deviation
+    above = F.col("_above")
+    days = order_counts(main).repartition(*PAIR).withColumn(
+        "_above", q - F.min(q).over(Window.partitionBy(*PAIR))).groupBy(
         *PAIR, "date_commande").agg(
         F.sum(n).alias("_dn"), F.sum(q * n).alias("_dq"),
-        F.sum(q * q * n).alias("_ds"), F.min(q).alias("_dmin"),
+        F.sum(above * n).alias("_da"),
+        F.sum(above * above * n).alias("_ds"), F.min(q).alias("_dmin"),
         F.max(q).alias("_dmax"),
         F.sort_array(F.collect_list(F.struct(q.alias("q"), n.alias("n"))))
         .alias("_de"))
@@ -149,6 +154,7 @@ def pair_states(main: DataFrame) -> DataFrame:
     totals = {
         "frequency": F.sum("_dn").over(run),
         "total_qty": F.sum("_dq").over(run),
+        "_above_sum": F.sum("_da").over(run),
         "_squares": F.sum("_ds").over(run),
         "min_qty": F.min("_dmin").over(run),
         "max_qty": F.max("_dmax").over(run),
@@ -167,7 +173,7 @@ def pair_states(main: DataFrame) -> DataFrame:
     mean_sum = sum((F.coalesce(v, F.lit(0.0)) for v, _ in means), F.lit(0.0))
     weighted = sum((F.coalesce(v * F.lit(C.SEASON_COEFFICIENTS[m]),
                                F.lit(0.0)) for v, m in means), F.lit(0.0))
-    spread = (freq * F.col("_squares") - total * total) / (freq * freq)
+    spread = variance(freq, F.col("_above_sum"), F.col("_squares"), freq)
     entries = F.col("_entries")
     gap = F.coalesce(gap_mean(F.col("_first"), F.col("date_commande"), freq),
                      F.lit(C.DEFAULT_GAP_DAYS))

@@ -6,8 +6,6 @@ from cadenza import constants as C
 from cadenza.operators import joining, profiling as p, seasonality as s
 from cadenza.plans.registry import as_long, query, rounded
 
-YEARS = list(range(1995, 2002))
-
 
 @query
 def null_report(t):
@@ -102,7 +100,7 @@ def gap_days(t):
 
 @query
 def month_year_pivot(t):
-    return as_long(p.month_year_pivot(t.main(), YEARS), "mois")
+    return as_long(p.month_year_pivot(t.main_stage()), "mois")
 
 
 @query
@@ -183,6 +181,13 @@ def category_season(t):
                    "avg_lignes", "seasonal_index")
 
 
+@query
+def category_season_all(t):
+    """Season coefficients of every category."""
+    return rounded(as_long(s.category_season(t.main_stage(), None), "mois"),
+                   "avg_lignes", "seasonal_index")
+
+
 @query
 def weekday_profile(t):
     return as_long(s.weekday_profile(t.main()), "jour_semaine")

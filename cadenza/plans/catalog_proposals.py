@@ -21,12 +21,9 @@ def clients_directory(t):
     main = t.main_stage()
     rows = t.visit_dataset().select("code_client", "code_article",
                                     "target_bought")
-    plain = rk.clients_directory(rows).drop("avg_basket", "has_gps")
-    profile = entity_features.client_profile(main).select(
-        "code_client", F.col("client_avg_basket_size").alias("avg_basket"))
-    geo = entity_features.client_geo(main).select("code_client", "has_gps")
-    return rounded(plain.join(profile, "code_client", "left")
-                   .join(geo, "code_client", "left"), "avg_basket")
+    profile = entity_features.client_profile(main).join(
+        entity_features.client_geo(main), "code_client", "left")
+    return rounded(rk.clients_directory(rows, profile=profile), "avg_basket")
 
 
 @query

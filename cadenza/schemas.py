@@ -19,6 +19,7 @@ RAW_INVOICES = _struct(
 RAW_LINES = _struct(
     ("Document No_", _S), ("Quantity", _D), ("code_article", _S),
     ("designation_article", _S), ("Item Category Code", _S), ("company", _S),
+    ("Line No_", _L),
 )
 RAW_CLIENTS = _struct(
     ("clientCode", _S), ("company", _S), ("lat", _D), ("lng", _D),

@@ -1,4 +1,7 @@
-"""Load the three raw extracts and give them canonical column names."""
+"""Load the three raw extracts and give them canonical column names.
+
+The names on the left are fixed by the delivered files.
+"""
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -19,6 +22,7 @@ LINE_NAMES = {
     "designation_article": "designation",
     "Item Category Code": "categorie",
     "company": "societe_ligne",
+    "Line No_": "numero_ligne",
 }
 CLIENT_NAMES = {
     "clientCode": "code_client",

@@ -10,10 +10,9 @@ def load_feedback(spark: SparkSession, path: str,
                   min_date: str | None = None) -> DataFrame:
     """All months, or those from ``min_date`` on; empty if nothing is stored.
 
-    ``submitted_at`` may precede the month folder (a late submission), so the
-    folder is not used to skip months unless its rows cannot qualify: a row
-    is stored in the month it was received in, never earlier than it was
-    submitted, hence months before ``min_date``'s month hold no match.
+    The folders are months of receipt, and ``submitted_at`` may lie before or
+    (a client's clock ahead) after its folder's month.  So no folder is
+    skipped; the filter on ``submitted_at`` reaches the files' statistics.
     """
     try:
         stored = spark.read.schema(FEEDBACK).parquet(path)
@@ -23,8 +22,7 @@ def load_feedback(spark: SparkSession, path: str,
         return spark.createDataFrame([], FEEDBACK)
     if min_date is not None:
         stored = stored.filter(
-            (F.col("date_visite_mois") >= min_date[:7])
-            & (F.col("submitted_at") >= F.lit(min_date).cast("timestamp_ntz")))
+            F.col("submitted_at") >= F.lit(min_date).cast("timestamp_ntz"))
     return stored
 
 

@@ -75,6 +75,7 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("designation_article"),
         _null_when(no_category, category).alias("Item Category Code"),
         _null_when(part % 307 == 0, _company(order)).alias("company"),
+        F.col("l_linenumber").cast("long").alias("Line No_"),
     )
 
 

@@ -85,7 +85,8 @@ SELECT CASE WHEN l_partkey % 499 <> 0
        THEN CASE WHEN l_partkey % 5 = 0 THEN lower(p_type) || ' '
                  ELSE p_type END END AS categorie,
   CASE WHEN l_partkey % 307 <> 0
-       THEN 'CO' || CAST(l_orderkey % 3 + 1 AS VARCHAR) END AS societe_ligne
+       THEN 'CO' || CAST(l_orderkey % 3 + 1 AS VARCHAR) END AS societe_ligne,
+  l_linenumber::BIGINT AS numero_ligne
 FROM lineitem JOIN part ON l_partkey = p_partkey""")
 
 define("raw_gps", """
@@ -113,7 +114,8 @@ define("lin_unique", """
 SELECT * EXCLUDE (copy) FROM (
   SELECT *, row_number() OVER (
     PARTITION BY code_facture, societe_ligne, code_article
-    ORDER BY quantite NULLS LAST, designation NULLS LAST,
+    ORDER BY numero_ligne NULLS LAST, coalesce(quantite > 0, false) DESC,
+             quantite NULLS LAST, designation NULLS LAST,
              categorie NULLS LAST) AS copy
   FROM raw_lin
   WHERE code_facture IS NOT NULL AND code_article IS NOT NULL)

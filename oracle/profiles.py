@@ -309,6 +309,12 @@ SELECT categorie, mois::BIGINT AS mois, round(avg(nb_lignes), 4)
   AS avg_lignes, round(avg(nb_lignes) / avg(avg(nb_lignes)) OVER (
     PARTITION BY categorie), 4) AS seasonal_index
 FROM cat_months GROUP BY categorie, mois"""
+SQL["category_season_all"] = """
+SELECT categorie, mois::BIGINT AS mois, round(avg(nb_lignes), 4)
+  AS avg_lignes, round(avg(nb_lignes) / avg(avg(nb_lignes)) OVER (
+    PARTITION BY categorie), 4) AS seasonal_index
+FROM (SELECT categorie, annee, mois, count(*) AS nb_lignes FROM main
+      GROUP BY ALL) GROUP BY categorie, mois"""
 SQL["weekday_profile"] = "SELECT * FROM weekdays"
 SQL["weekday_share"] = """
 SELECT *, round(nb_commandes * 100.0::DOUBLE / sum(nb_commandes) OVER (), 4)
@@ -383,7 +389,9 @@ SELECT code_client, code_article, date_commande, code_facture, societe,
   round(avg(quantite) OVER w, 4) AS avg_qty,
   median(quantite) OVER w AS median_qty,
   round(stddev_pop(quantite) OVER w, 4) AS std_qty,
-  max(date_commande) OVER w AS last_date
+  max(date_commande) OVER w AS last_date,
+  row_number() OVER (PARTITION BY code_client, code_article
+    ORDER BY date_commande, code_facture, societe, quantite) AS position
 FROM main WINDOW w AS (PARTITION BY code_client, code_article)"""
 SQL["outlier_weight"] = """
 SELECT count(*) AS n_orders, count(*) FILTER (quantite >= 20) AS n_large,

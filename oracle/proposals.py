@@ -201,8 +201,9 @@ SELECT client_id, commercial_id, count(code_article) AS nb_suggestions,
 FROM requests LEFT JOIN picked ON code_client = client_id
 GROUP BY client_id, commercial_id"""
 SQL["order_proposal"] = """
-SELECT code_client, substr(code_article, 1, 15) AS code_article,
-  substr(designation, 1, 28) AS designation,
+SELECT code_client, code_article, designation,
+  substr(code_article, 1, 15) AS article_court,
+  substr(designation, 1, 28) AS designation_courte,
   round(probabilite_achat * 100, 1) AS score_pct,
   CASE WHEN probabilite_achat >= 0.80
     THEN 'PRIORITE HAUTE (Achat tres probable)'
