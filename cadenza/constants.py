@@ -58,6 +58,7 @@ LEARNING_RATE = 0.05
 ROW_SAMPLING = 0.8
 COLUMN_SAMPLING = "0.8"
 MIN_ROWS_PER_LEAF = 5
+PATIENCE = 20
 
 # Correlation report columns.
 CORRELATED_FEATURES = [

@@ -10,7 +10,8 @@ from datetime import datetime, timezone
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import (SQLTransformer, StringIndexer,
+                                VectorAssembler)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.recommendation import ALS
 from pyspark.ml.regression import GBTRegressor
@@ -54,60 +55,107 @@ def _numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in columns})
 
 
+def best_round(losses: list[float], patience: int = C.PATIENCE) -> int:
+    """Round (from 1) of the least loss before ``patience`` vain rounds."""
+    best, at = float("inf"), 1
+    for number, loss in enumerate(losses, 1):
+        if loss < best:
+            best, at = loss, number
+        elif number - at >= patience:
+            break
+    return at
+
+
+def fit_rounds(booster, train: DataFrame, validation: DataFrame,
+               patience: int, *loss: str):
+    """Fit all rounds, keep those up to the best one on ``validation``.
+
+    Returns the model and its number of rounds.  Boosting with the same seed
+    repeats its first rounds, so the second fit is the first one, cut.
+    """
+    model = booster.fit(train)
+    rounds = best_round(model.evaluateEachIteration(validation, *loss),
+                        patience)
+    if rounds < booster.getMaxIter():
+        model = booster.copy({booster.maxIter: rounds}).fit(train)
+    return model, rounds
+
+
 def train_classifier(dataset: DataFrame, train_cutoff: str,
                      validation_cutoff: str, trees: int = C.TREES,
                      depth: int = C.TREE_DEPTH, seed: int = 42,
+                     patience: int = C.PATIENCE,
+                     extra_train: DataFrame | None = None,
                      ) -> tuple[PipelineModel, DataFrame]:
     """Fit on the train part, stop early on validation, measure on test.
 
     Positives weigh negatives / positives of the train part.  Returns the
-    model and one row of metrics.  A ``weight`` column, if present, counts a
-    row that many times.
+    model and one row of metrics.  ``extra_train`` are rows that only ever
+    train (answers to proposals, say); its ``weight`` counts a row that many
+    times.
     """
     features = C.CLASSIFIER_FEATURES
-    rows = dataset if "weight" in dataset.columns else dataset.withColumn(
-        "weight", F.lit(1).cast("long"))
-    rows = _numeric(rows, features).select(
-        *features, F.col("target_bought").cast("double").alias("label"),
-        "weight", "visit_date", "code_client")
-    split = write_and_read(
-        ev.temporal_split(rows, train_cutoff, validation_cutoff),
-        "classifier-rows")
+
+    def prepared(rows: DataFrame) -> DataFrame:
+        if "weight" not in rows.columns:
+            rows = rows.withColumn("weight", F.lit(1).cast("long"))
+        return _numeric(rows, features).select(
+            *features, F.col("target_bought").cast("double").alias("label"),
+            "weight", "visit_date", "code_client", "part")
+
+    rows = prepared(ev.temporal_split(dataset, train_cutoff,
+                                      validation_cutoff))
+    if extra_train is not None:
+        rows = rows.unionByName(prepared(
+            extra_train.withColumn("part", F.lit("train"))))
+    split = write_and_read(rows, "classifier-rows")
     ev.require_parts(split)
-    train = F.col("part") == "train"
-    weights = split.filter(train).agg(
+    part = F.col("part")
+    weights = split.filter(part == "train").agg(
         (F.sum(F.col("weight") * (1 - F.col("label")))
          / F.greatest(F.sum(F.col("weight") * F.col("label")), F.lit(1.0)))
         .alias("w"))
-    fitted = split.filter(F.col("part") != "test").withColumns({
-        "_w": weights.scalar(),
-        "is_validation": F.col("part") == "validation",
-    }).withColumn("sample_weight", F.col("weight") * F.when(
-        F.col("label") == 1, F.col("_w")).otherwise(1.0))
+    scale = weights.first()["w"]
     assembler = VectorAssembler(inputCols=features, outputCol="features")
+    ready = assembler.transform(split).withColumn(
+        "sample_weight", F.col("weight") * F.when(
+            F.col("label") == 1, F.lit(scale)).otherwise(1.0))
     booster = GBTClassifier(
         maxIter=trees, maxDepth=depth, stepSize=C.LEARNING_RATE,
         subsamplingRate=C.ROW_SAMPLING,
         featureSubsetStrategy=C.COLUMN_SAMPLING,
         minInstancesPerNode=C.MIN_ROWS_PER_LEAF, weightCol="sample_weight",
-        validationIndicatorCol="is_validation", seed=seed)
-    model = booster.fit(assembler.transform(fitted))
+        seed=seed)
+    model, rounds = fit_rounds(
+        booster, ready.filter(part == "train"),
+        ready.filter(part == "validation"), patience)
     pipeline = PipelineModel([assembler, model])
-    scored = pipeline.transform(split.filter(F.col("part") == "test"))
-    metrics = split.agg(
-        F.count_distinct(F.when(train, F.col("code_client")))
-        .alias("train_clients"),
-        F.count_distinct(F.when(F.col("part") == "test",
-                                F.col("code_client"))).alias("test_clients"),
-    ).withColumns({
+    scored = pipeline.transform(split.filter(part == "test"))
+    per_part = [f(F.when(part == name, c)).alias(f"{name}_{what}")
+                for name in ("train", "validation", "test")
+                for what, f, c in (
+                    ("rows", F.count, F.lit(1)),
+                    ("clients", F.count_distinct, F.col("code_client")),
+                    ("positives", F.count_if, F.col("label") == 1))]
+    metrics = split.agg(*per_part).withColumns({
         "roc_auc": F.lit(_area(scored, "areaUnderROC")),
         "pr_auc": F.lit(_area(scored, "areaUnderPR")),
-        "best_iteration": F.lit(model.getNumTrees),
-        "scale_pos_weight": weights.scalar(),
+        "best_iteration": F.lit(rounds), "rounds_fitted": F.lit(trees),
+        "scale_pos_weight": F.lit(scale),
         "n_features": F.lit(len(features))})
     return pipeline, metrics
 
 
+def classifier_scores(model: PipelineModel, dataset: DataFrame,
+                      train_cutoff: str, validation_cutoff: str) -> DataFrame:
+    """Test rows as (label, score), for the reports of ``evaluation``."""
+    test = ev.temporal_split(dataset, train_cutoff, validation_cutoff).filter(
+        F.col("part") == "test")
+    return model.transform(_numeric(test, C.CLASSIFIER_FEATURES)).select(
+        F.col("target_bought").alias("label"),
+        vector_to_array("probability")[1].alias("score"))
+
+
 def _area(scored: DataFrame, metric: str) -> float:
     return BinaryClassificationEvaluator(
         labelCol="label", metricName=metric).evaluate(scored)
@@ -115,44 +163,69 @@ def _area(scored: DataFrame, metric: str) -> float:
 
 # -- quantity model ----------------------------------------------------------
 
+#: How the target is brought to a scale, and the prediction back to units.
+#: Absolute boosting moves by one step a round whatever the target's scale,
+#: so it fits the quantity relative to the pair's mean.
+SCALES = {
+    "plain": (lambda: F.col("target_qty"), "prediction"),
+    "log": (lambda: F.log1p("target_qty"), "expm1(prediction)"),
+    "relative": (lambda: F.col("target_qty") / F.col("avg_qty"),
+                 "prediction * avg_qty"),
+}
+
+
 def train_regressor(dataset: DataFrame, objective: str = "absolute",
-                    log_target: bool = False, trees: int = C.TREES,
+                    scale: str | None = None, trees: int = C.TREES,
                     depth: int = C.TREE_DEPTH, seed: int = 42,
+                    patience: int = C.PATIENCE,
                     ) -> tuple[PipelineModel, DataFrame]:
     """Fit the quantity on bought rows, split by client.
 
-    ``objective`` is "absolute" or "squared"; ``log_target`` fits log1p of
-    the quantity, undone by expm1 at prediction.  The metrics row compares
-    the rounded prediction with the mean quantity on the test clients.
+    ``objective`` is "absolute" or "squared"; ``scale`` is a key of SCALES,
+    by default "relative" for absolute and "plain" for squared errors.  A
+    relative error weighs its pair's mean, which makes it units again.  The
+    fitted pipeline gives the quantity in units as ``quantity``.  The metrics
+    row compares it, rounded and as it is, with the mean quantity on the test
+    clients.
     """
     features = C.REGRESSOR_FEATURES
+    scale = scale or {"absolute": "relative", "squared": "plain"}[objective]
+    label, back = SCALES[scale]
     rows = _numeric(dataset.filter(F.col("target_qty") > 0), features)
-    rows = rows.select(
-        *features, "target_qty", "code_client").withColumn(
-        "label", F.log1p("target_qty") if log_target
-        else F.col("target_qty"))
+    weight = F.col("avg_qty") if scale == "relative" else F.lit(1.0)
+    rows = rows.select(*features, "target_qty", "code_client").withColumns(
+        {"label": label(), "sample_weight": weight})
     split = write_and_read(ev.group_split(rows), "regressor-rows")
     positives = split.count()
     if positives < MIN_POSITIVES:
         raise ValueError(f"{positives} bought rows are too few to train on")
-    fitted = split.filter(F.col("part") != "test").withColumn(
-        "is_validation", F.col("part") == "validation")
     assembler = VectorAssembler(inputCols=features, outputCol="features")
+    ready = assembler.transform(split)
     booster = GBTRegressor(
         lossType=objective, maxIter=trees, maxDepth=depth,
         stepSize=C.LEARNING_RATE, subsamplingRate=C.ROW_SAMPLING,
-        featureSubsetStrategy=C.COLUMN_SAMPLING,
-        minInstancesPerNode=C.MIN_ROWS_PER_LEAF,
-        validationIndicatorCol="is_validation", seed=seed)
-    model = booster.fit(assembler.transform(fitted))
-    pipeline = PipelineModel([assembler, model])
-    test = pipeline.transform(split.filter(F.col("part") == "test"))
-    raw = F.expm1("prediction") if log_target else F.col("prediction")
-    test = test.withColumn("prediction", qty.served_quantity(raw, 0))
+        featureSubsetStrategy=C.COLUMN_SAMPLING, weightCol="sample_weight",
+        minInstancesPerNode=C.MIN_ROWS_PER_LEAF, seed=seed)
+    part = F.col("part")
+    model, rounds = fit_rounds(
+        booster, ready.filter(part == "train"),
+        ready.filter(part == "validation"), patience, objective)
+    pipeline = PipelineModel([assembler, model, SQLTransformer(
+        statement=f"SELECT *, {back} AS quantity FROM __THIS__")])
+    test = pipeline.transform(split.filter(part == "test")).withColumn(
+        "prediction", qty.served_quantity(F.col("quantity"), 0))
+    continuous = ev.regression_report(test, guess="quantity").first()
+    clients = {r["part"]: r["n"] for r in split.groupBy("part").agg(
+        F.count_distinct("code_client").alias("n")).collect()}
     metrics = ev.regression_report(test).withColumns({
-        "objective": F.lit(objective), "log_target": F.lit(log_target),
-        "best_iteration": F.lit(model.getNumTrees),
-        "n_training_positives": F.lit(positives)})
+        "mae_continuous": F.lit(continuous["mae"]),
+        "rmse_continuous": F.lit(continuous["rmse"]),
+        "objective": F.lit(objective), "scale": F.lit(scale),
+        "best_iteration": F.lit(rounds), "rounds_fitted": F.lit(trees),
+        "n_training_positives": F.lit(positives),
+        "n_features": F.lit(len(features)),
+        "train_clients": F.lit(clients.get("train", 0)),
+        "test_clients": F.lit(clients.get("test", 0))})
     return pipeline, metrics
 
 
@@ -161,9 +234,9 @@ def compare_regressors(dataset: DataFrame, **limits) -> DataFrame:
     rows = write_and_read(dataset.filter(F.col("target_qty") > 0).select(
         *C.REGRESSOR_FEATURES, "target_qty", "code_client"), "bought-rows")
     report = None
-    for objective, log_target in (("squared", False), ("absolute", False),
-                                  ("absolute", True)):
-        _, metrics = train_regressor(rows, objective, log_target, **limits)
+    for objective, scale in (("squared", "plain"), ("absolute", "relative"),
+                             ("absolute", "log")):
+        _, metrics = train_regressor(rows, objective, scale, **limits)
         report = metrics if report is None else report.unionByName(metrics)
     return report
 
@@ -171,8 +244,7 @@ def compare_regressors(dataset: DataFrame, **limits) -> DataFrame:
 # -- use ---------------------------------------------------------------------
 
 def score(snapshots: DataFrame, classifier: PipelineModel,
-          regressor: PipelineModel | None, log_target: bool = False,
-          ) -> DataFrame:
+          regressor: PipelineModel | None) -> DataFrame:
     """Add probability and served quantity to every snapshot."""
     keep = snapshots.columns
     rows = _numeric(snapshots, C.CLASSIFIER_FEATURES)
@@ -183,8 +255,8 @@ def score(snapshots: DataFrame, classifier: PipelineModel,
         return rows.withColumn("regressor_qty",
                                F.lit(None).cast("double"))
     sized = regressor.transform(_numeric(rows, C.REGRESSOR_FEATURES))
-    raw = F.expm1("prediction") if log_target else F.col("prediction")
-    return sized.withColumn("regressor_qty", qty.served_quantity(raw)).select(
+    return sized.withColumn("regressor_qty", qty.served_quantity(
+        F.col("quantity"))).select(
         *keep, "probabilite_achat", "regressor_qty")
 
 
@@ -193,17 +265,19 @@ def sweep(snapshots: DataFrame, regressor: PipelineModel, column: str,
     """Predicted quantity of every row with ``column`` set to each value."""
     rows = _numeric(snapshots, C.REGRESSOR_FEATURES).withColumn(
         column, F.explode(F.array(*[F.lit(float(v)) for v in values])))
+    quantity = F.col("quantity")
     return regressor.transform(rows).select(
-        *PAIR, F.col(column).alias("tested_value"), "prediction",
-        (F.col("prediction") - F.col("avg_qty")).alias("delta_vs_avg"))
+        *PAIR, F.col(column).alias("tested_value"),
+        quantity.alias("prediction"),
+        (quantity - F.col("avg_qty")).alias("delta_vs_avg"))
 
 
 def importances(model: PipelineModel, features: list[str], spark,
                 groups: dict[str, list[str]] | None = None,
                 near_zero: float = 0.001, alert: float = 0.10) -> DataFrame:
     """Importance per feature (and feature group), flags for noise."""
-    values = dict(zip(
-        features, model.stages[-1].featureImportances.toArray().tolist()))
+    trees = next(s for s in model.stages if hasattr(s, "trees"))
+    values = dict(zip(features, trees.featureImportances.toArray().tolist()))
     rows = [("feature", n, v, v < near_zero, False)
             for n, v in values.items()]
     for name, members in (groups or {}).items():
@@ -216,18 +290,23 @@ def importances(model: PipelineModel, features: list[str], spark,
 
 
 def save(model: PipelineModel, metrics: DataFrame, features: list[str],
-         path: str, trained_at: str | None = None) -> None:
-    """Model folder plus one JSON row of metadata."""
+         path: str, trained_at: str | None = None, encoder=None) -> None:
+    """Model folder, encoder if there is one, and a JSON row of metadata."""
     model.write().overwrite().save(f"{path}/model")
+    stages = [] if encoder is None else [encoder]
+    PipelineModel(stages).write().overwrite().save(f"{path}/encoder")
     stamp = trained_at or datetime.now(timezone.utc).isoformat()
     (metrics.withColumn("trained_at", F.lit(stamp))
      .withColumn("feature_columns", F.array(*[F.lit(f) for f in features]))
      .coalesce(1).write.mode("overwrite").json(f"{path}/metadata"))
 
 
-def load(spark, path: str, metrics_schema) -> tuple[PipelineModel, DataFrame]:
+def load(spark, path: str, metrics_schema):
+    """(model, metadata, encoder or None) as saved."""
+    stages = PipelineModel.load(f"{path}/encoder").stages
     return (PipelineModel.load(f"{path}/model"),
-            spark.read.schema(metrics_schema).json(f"{path}/metadata"))
+            spark.read.schema(metrics_schema).json(f"{path}/metadata"),
+            stages[0] if stages else None)
 
 
 # -- collaborative score -----------------------------------------------------

@@ -191,6 +191,11 @@ def pair_states(main: DataFrame) -> DataFrame:
         first_maximum(means).alias("best_month"))
 
 
+def order_states(main: DataFrame) -> DataFrame:
+    """The classifier's features of each pair after each of its days."""
+    return pair_states(main).drop("_until")
+
+
 def state_before(main: DataFrame) -> DataFrame:
     """Narrow as-of: count, last quantity and last day before each visit day."""
     run = _running()

@@ -1,10 +1,11 @@
 """All check statements, ready to run."""
 
-from oracle import (cleaning, evaluation, features, feedback, profiles,
-                    proposals)
+from oracle import (cleaning, evaluation, features, feedback, models,
+                    profiles, proposals)
 from oracle.base import with_ctes
 
-MODULES = (cleaning, features, profiles, proposals, evaluation, feedback)
+MODULES = (cleaning, features, profiles, proposals, evaluation, feedback,
+           models)
 
 
 def statements() -> dict[str, str]:

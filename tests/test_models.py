@@ -1,7 +1,7 @@
 import pytest
 
 from cadenza import constants as C
-from cadenza.operators import models
+from cadenza.operators import feedback, models
 from cadenza.plans.tables import Tables
 from cadenza.sources.testbed import TRAIN_CUTOFF, VALIDATION_CUTOFF
 
@@ -18,6 +18,8 @@ def test_classifier_and_scores(spark, dataset):
         dataset, TRAIN_CUTOFF, VALIDATION_CUTOFF, trees=3, depth=3)
     row = metrics.collect()[0]
     assert 0 <= row.roc_auc <= 1 and row.n_features == 10
+    assert row.rounds_fitted == 3 and row.train_rows > row.test_rows > 0
+    assert 1 <= row.best_iteration == len(model.stages[-1].trees) <= 3
     table = models.importances(model, C.CLASSIFIER_FEATURES, spark, {
         "history": ["frequency", "total_qty"]})
     assert table.count() == 11
@@ -25,13 +27,61 @@ def test_classifier_and_scores(spark, dataset):
     assert scored.filter("probabilite_achat between 0 and 1").count() == 50
 
 
-def test_regressor_on_log_target(dataset):
+def test_best_round_waits_for_patience():
+    assert models.best_round([3, 2, 1, 1, 1]) == 3
+    assert models.best_round([3, 2, 2.5, 2.5, 1], patience=2) == 2
+    assert models.best_round([3, 2, 2.5, 2.5, 1], patience=3) == 5
+
+
+def test_regressor_learns_and_beats_its_baseline(spark):
+    """Most buyers take half of their mean and a few six times as much, so
+    the first tree, which fits means, is far from the least absolute error."""
+    rows = spark.range(1500).selectExpr(
+        "concat('C', id % 150) AS code_client", "'P' AS code_article",
+        "double(4 + id % 40) AS avg_qty", "double(id % 7) AS std_qty",
+        "double(4 + id % 40) AS median_qty", "1D AS min_qty",
+        "90D AS max_qty", "double(id % 11) AS last_qty",
+        "id % 13 AS frequency", "3D AS recency_days",
+        "5D AS avg_delay_days", "1D AS current_month_coef",
+        "1D AS avg_seasonal_coef",
+        "(4 + id % 40) * if(hash(id) % 5 = 0, 6D, 0.5D) AS target_qty")
+    model, metrics = models.train_regressor(rows, trees=40, depth=3)
+    row = metrics.first()
+    assert row.best_iteration > 5 and row.mae < 0.9 * row.mae_baseline
+    assert (row.train_clients, row.test_clients) != (0, 0)
+    assert len(model.stages[1].trees) == row.best_iteration
+
+
+def test_regressor_on_log_target(dataset, tmp_path, spark):
     model, metrics = models.train_regressor(
-        dataset, log_target=True, trees=2, depth=3)
+        dataset, scale="log", trees=2, depth=3)
     row = metrics.collect()[0]
     assert row.mae > 0 and row.n_training_positives >= 100
     swept = models.sweep(dataset.limit(4), model, "last_qty", [1, 50])
     assert swept.count() == 8
+    encoder = models.category_encoder(dataset)
+    models.save(model, metrics, C.REGRESSOR_FEATURES, str(tmp_path),
+                encoder=encoder)
+    again, _, codes = models.load(spark, str(tmp_path), metrics.schema)
+    assert codes.labels == encoder.labels and len(again.stages) == 3
+
+
+def test_feedback_trains_on_the_state_before_its_day(spark):
+    states = spark.sql(
+        "SELECT 'C' AS code_client, 'P' AS code_article, "
+        "date'2024-01-01' AS _day, 1L AS frequency, 4D AS avg_delay_days "
+        "UNION ALL SELECT 'C', 'P', date'2024-01-10', 2L, 9D")
+    rows = spark.sql(
+        "SELECT cast(d AS timestamp_ntz) AS submitted_at, 'C' AS client_id, "
+        "p AS code_article, a AS accepte, 7 AS quantite_finale FROM VALUES "
+        "('2024-01-01 08:00', 'P', true), ('2024-01-10 09:00', 'P', true), "
+        "('2024-01-11 09:00', 'P', false), ('2024-01-11 10:00', 'P', false),"
+        "('2024-01-11 10:00', 'Q', true) AS t(d, p, a)")
+    got = sorted((str(r.visit_date), r.frequency, r.recency_days, r.weight,
+                  r.target_bought, r.target_qty)
+                 for r in feedback.training_rows(rows, states).collect())
+    assert got == [("2024-01-10", 1, 9.0, 1, 1, 7.0),
+                   ("2024-01-11", 2, 1.0, 2, 0, 0.0)]
 
 
 def test_too_few_positives(dataset):
