@@ -7,6 +7,7 @@ from cadenza.functions import quantities as qty
 from cadenza.operators import (drift, evaluation as ev, models, profiling,
                                visits)
 from cadenza.plans.registry import as_long, query, rounded
+from cadenza.session import write_and_read
 from cadenza.sources.testbed import TRAIN_CUTOFF, VALIDATION_CUTOFF
 
 
@@ -27,7 +28,8 @@ def _sized_positives(t):
 
 @query
 def encode_category(t):
-    rows = t.dataset_stage().select("categorie")
+    rows = write_and_read(t.visit_dataset().select("categorie"),
+                          "categories")
     encoded = models.encode_categories(rows, models.category_encoder(rows))
     return as_long(encoded.groupBy("categorie", "categorie_encoded").agg(
         F.count("*").alias("n_rows")), "categorie_encoded")
@@ -136,7 +138,7 @@ def winsorise(t):
 
 @query
 def drift_psi(t):
-    main = t.main()
+    main = t.main_stage()
     new = F.col("date_commande") > F.lit(VALIDATION_CUTOFF).cast("date")
     return rounded(drift.stability_index(main, new, {
         "categorie": F.col("categorie"), "code_article": F.col("code_article"),

@@ -100,6 +100,15 @@ def acceptance_stream(t):
     return rounded(_read(t, path), "acceptance_rate")
 
 
+@query
+def acceptance_week_stream(t):
+    """Sliding weeks, a new one each day, closed by the watermark."""
+    path = fs.new_path(t.spark, "weeks")
+    fs.run_to_files(fs.window_rates(fb.flatten(_feed(t)), "7 days", "1 day"),
+                    path, "acceptance-weeks")
+    return rounded(_read(t, path), "acceptance_rate")
+
+
 @query
 def session_stream(t):
     """Sessions closed by the watermark."""

@@ -223,7 +223,7 @@ def kruskal_h(t):
 
 @query
 def acf(t):
-    return rounded(as_long(s.autocorrelation(t.main()), "lag"), "acf")
+    return rounded(as_long(s.autocorrelation(t.main_stage()), "lag"), "acf")
 
 
 @query

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cadenza.functions import quantities as qty
 from cadenza.operators import (cleaning, entity_features, feature_matrix,
                                joining, ranking, visits)
-from cadenza.session import write_and_read
+from cadenza.session import remove_files, write_and_read
 from cadenza.sources import extracts, testbed
 
 
@@ -27,6 +27,15 @@ class Tables:
             self._stages[name] = write_and_read(build(), name)
         return self._stages[name]
 
+    def drop_stages(self) -> None:
+        """Remove the stage tables at the end of a job.
+
+        Results that read them must have been written before.
+        """
+        for df in self._stages.values():
+            remove_files(df)
+        self._stages.clear()
+
     def main_stage(self) -> DataFrame:
         return self._stage("main-table", self.main)
 

@@ -93,6 +93,16 @@ SELECT window_start, window_start + INTERVAL 1 DAY AS window_end, n_items,
   n_accepted, n_modified, acceptance_rate FROM fb_days
 WHERE window_start + INTERVAL 1 DAY
   <= (SELECT max(submitted_at) - INTERVAL 2 DAY FROM fb)"""
+SQL["acceptance_week_stream"] = """
+SELECT window_start, window_start + INTERVAL 7 DAY AS window_end,
+  count(*) AS n_items, count(*) FILTER (accepte) AS n_accepted,
+  count(*) FILTER (modifie) AS n_modified,
+  round(avg(accepte::INTEGER), 4) AS acceptance_rate
+FROM (SELECT *, (date_trunc('day', submitted_at)
+        - to_days(k::INTEGER))::TIMESTAMP AS window_start
+      FROM fb, range(7) AS r(k))
+GROUP BY window_start HAVING window_start + INTERVAL 7 DAY
+  <= (SELECT max(submitted_at) - INTERVAL 2 DAY FROM fb)"""
 SQL["session_stream"] = """
 SELECT * FROM fb_sessions
 WHERE session_end <= (SELECT max(submitted_at) - INTERVAL 2 DAY FROM fb)"""

@@ -17,7 +17,8 @@ SMALL = [
     "proposals", "proposals_for_requests", "order_proposal", "weekly_rolling",
     "seasonal_decompose", "kruskal_h", "acf", "winsorise", "cv_switches",
     "classification_report", "acceptance_windows", "visit_sessions",
-    "feedback_stream", "acceptance_stream", "session_stream",
+    "feedback_stream", "acceptance_stream", "acceptance_week_stream",
+    "session_stream", "category_season_all",
     "feedback_dedup", "pair_state_stream", "cold_start_clients",
 ]
 
