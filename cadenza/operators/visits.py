@@ -14,9 +14,8 @@ on (client, product, day) and not on the invoice.  The work is therefore:
 4. attach the invoices of the day and what they sold.
 
 Cost grows with lines plus output rows.  A pair or client holding a third of
-all lines enters the windows as at most days x distinct quantities rows.
-Median and trend still rebuild the pair's history array for every day, which
-is too slow for such a pair; everything else is not affected.
+all lines enters the windows as at most days x distinct quantities rows; the
+median of a long history is found by ranges of quantities, which spread it.
 """
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -115,40 +114,141 @@ def _weighted_median(entries: Column, lines: Column) -> Column:
     return F.when(F.size(entries) == lines, picked).otherwise(walked)
 
 
-def _early_sum(entries: Column, lines: Column) -> Column:
-    """Quantity of the first floor(lines / 2) lines, in (day, quantity) order."""
-    half = F.floor(lines / 2)
-    plain = F.aggregate(
-        F.slice(entries, F.lit(1), half.cast("int")), F.lit(0.0),
-        lambda acc, e: acc + e["q"])
-    zero = F.struct(half.alias("left"), F.lit(0.0).alias("sum"))
+def _early_sums(states: DataFrame, counts: DataFrame) -> DataFrame:
+    """Add ``_early``: the quantity of each state's first ``_half`` lines.
 
-    def step(acc, e):
-        take = F.least(acc["left"], e["n"])
-        return F.struct((acc["left"] - take).alias("left"),
-                        (acc["sum"] + e["q"] * take).alias("sum"))
-
-    walked = F.aggregate(entries, zero, step, lambda a: a["sum"])
-    return F.when(F.size(entries) == lines, plain).otherwise(walked)
+    ``_half`` only grows with the day.  Entries stand at the number of lines
+    before them and states at their half, in one order per pair; the last
+    entry before a state holds the line in question.
+    """
+    run = _running()
+    lines, total = F.sum("n").over(run), F.sum(
+        F.col("quantite") * F.col("n")).over(run)
+    entries = counts.withColumns({"_lines": lines, "_total": total}).select(
+        *PAIR, (F.col("_lines") - F.col("n")).alias("_half"), F.struct(
+            (F.col("_lines") - F.col("n")).alias("start"),
+            (F.col("_total") - F.col("quantite") * F.col("n"))
+            .alias("before"), F.col("quantite").alias("q")).alias("_entry"))
+    both = states.unionByName(entries, allowMissingColumns=True)
+    before = Window.partitionBy(*PAIR).orderBy(
+        "_half", F.col("_entry").isNotNull()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("_found", F.last("_entry", True).over(before))
+    early = F.col("_found.before") + F.col("_found.q") * (
+        F.col("_half") - F.col("_found.start"))
+    return found.filter("_entry IS NULL").withColumn(
+        "_early", F.coalesce(early, F.lit(0.0))).drop("_entry", "_found")
+
+
+def _prefix_counts(asked: DataFrame, counts: DataFrame, keys: list[str],
+                   ) -> DataFrame:
+    """Add ``_upto`` to (keys, day): the lines of the keys up to the day."""
+    both = asked.withColumn("_asked", F.lit(True)).unionByName(
+        counts.groupBy(*keys, "date_commande").agg(
+            F.sum("n").alias("n"), F.max("quantite").alias("quantite")),
+        allowMissingColumns=True)
+    run = Window.partitionBy(*keys).orderBy(
+        "date_commande", F.col("_asked").isNotNull()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    return both.withColumns({
+        "_upto": F.coalesce(F.sum("n").over(run), F.lit(0)),
+        "_value": F.max("quantite").over(Window.partitionBy(*keys)),
+    }).filter("_asked").drop("_asked", "n", "quantite")
+
+
+def _long_medians(counts: DataFrame) -> DataFrame:
+    """(pair, day, median) of pairs with long histories.
+
+    The distinct quantities of a pair are numbered and cut into ranges, about
+    as many as each holds.  Per day the range that holds the middle line is
+    found from the ranges' counts up to the day, and inside it the quantity.
+    A pair of D days and Q quantities costs about D x sqrt(Q) rows, spread
+    over its ranges.
+    """
+    pair = Window.partitionBy(*PAIR)
+    indexed = counts.withColumn("_index", F.dense_rank().over(
+        pair.orderBy("quantite")) - 1).withColumn(
+        "_number", F.max("_index").over(pair) + 1).withColumn(
+        "_width", F.ceil(F.sqrt("_number")).cast("int")).withColumns({
+            "_range": F.floor(F.col("_index") / F.col("_width")).cast("int"),
+            "_place": (F.col("_index") % F.col("_width")).cast("int")})
+    days = indexed.groupBy(*PAIR, "date_commande").agg(
+        F.sum("n").alias("_n"), F.first("_width").alias("_width"),
+        F.first("_number").alias("_number"))
+    lines = F.sum("_n").over(pair.orderBy("date_commande").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow))
+    middle = days.withColumn("_lines", lines).withColumn(
+        "_rank", F.explode(F.array(F.floor((F.col("_lines") + 1) / 2),
+                                   F.floor(F.col("_lines") / 2) + 1)))
+    day = [*PAIR, "date_commande", "_rank"]
+
+    def first_reaching(asked: DataFrame, keys: list[str], at: str,
+                       extra: list[str]) -> DataFrame:
+        """The first ``at`` whose counts reach the rank, per day and rank."""
+        upto = _prefix_counts(asked, indexed, keys)
+        run = Window.partitionBy(*day).orderBy(at).rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)
+        total = F.sum("_upto").over(run)
+        return upto.withColumn("_total", total).filter(
+            F.col("_total") >= F.col("_rank")).groupBy(*day, *extra).agg(
+            F.min(F.struct(at, (F.col("_total") - F.col("_upto"))
+                           .alias("below"), F.col("_value").alias("value")))
+            .alias("_hit"))
+
+    # a day with an odd number of lines asks for one rank, not twice the same
+    asked = middle.distinct().withColumn("_range", F.explode(F.sequence(
+        F.lit(0), F.floor((F.col("_number") - 1) / F.col("_width"))
+        .cast("int"))))
+    ranges = first_reaching(asked, [*PAIR, "_range"], "_range", ["_width"])
+    inside = ranges.select(
+        *PAIR, "date_commande", F.col("_rank").alias("_whole"),
+        (F.col("_rank") - F.col("_hit.below")).alias("_rank"),
+        F.col("_hit._range").alias("_range"), F.explode(F.sequence(
+            F.lit(0), F.col("_width") - 1)).alias("_place"))
+    day.append("_whole")
+    picked = first_reaching(inside, [*PAIR, "_range", "_place"], "_place", [])
+    return picked.groupBy(*PAIR, "date_commande").agg(
+        F.avg("_hit.value").alias("median_qty"))
+
+
+#: Entries (day and quantity) of a pair up to which its history is handled
+#: as one array per day; longer ones take the way of ``_long_medians``.
+ARRAY_ENTRIES = 256
 
 
 def pair_states(main: DataFrame) -> DataFrame:
     """State of every pair after each of its days, valid until ``_until``."""
+    counts = order_counts(main).repartition(*PAIR).withColumn(
+        "_size", F.count(F.lit(1)).over(Window.partitionBy(*PAIR)))
+    short = counts.filter(F.col("_size") <= ARRAY_ENTRIES).drop("_size")
+    long = counts.filter(F.col("_size") > ARRAY_ENTRIES).drop("_size")
+    entries = F.flatten(F.collect_list("_de").over(
+        Window.partitionBy(*PAIR).orderBy("date_commande").rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)))
+    bounded = _states(short, {"_de": F.sort_array(F.collect_list(F.struct(
+        F.col("quantite").alias("q"), F.col("n").alias("n"))))},
+        {"_entries": entries}).withColumn("median_qty", _weighted_median(
+            F.col("_entries"), F.col("frequency"))).drop("_entries", "_de")
+    medians = _long_medians(long).withColumnRenamed("date_commande", "_day")
+    unbounded = _states(long, {}, {}).join(medians, [*PAIR, "_day"])
+    return bounded.unionByName(unbounded)
+
+
+def _states(counts: DataFrame, per_day: dict[str, Column],
+            running: dict[str, Column]) -> DataFrame:
+    """All of a state but its median, from (pair, day, quantity, n)."""
     q, n = F.col("quantite"), F.col("n")
-    # one row per pair and day before anything runs: arrays below are built
-    # once per day, not once per line or quantity
     # deviations are summed from the pair's smallest quantity on, see
     # pair_features.pair_matrix; any constant gives the same deviation
     above = F.col("_above")
-    days = order_counts(main).repartition(*PAIR).withColumn(
+    days = counts.withColumn(
         "_above", q - F.min(q).over(Window.partitionBy(*PAIR))).groupBy(
         *PAIR, "date_commande").agg(
         F.sum(n).alias("_dn"), F.sum(q * n).alias("_dq"),
         F.sum(above * n).alias("_da"),
         F.sum(above * above * n).alias("_ds"), F.min(q).alias("_dmin"),
         F.max(q).alias("_dmax"),
-        F.sort_array(F.collect_list(F.struct(q.alias("q"), n.alias("n"))))
-        .alias("_de"))
+        *[c.alias(name) for name, c in per_day.items()])
     ordered = Window.partitionBy(*PAIR).orderBy("date_commande")
     run = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     totals = {
@@ -159,14 +259,15 @@ def pair_states(main: DataFrame) -> DataFrame:
         "min_qty": F.min("_dmin").over(run),
         "max_qty": F.max("_dmax").over(run),
         "_first": F.min("date_commande").over(run),
-        "_entries": F.flatten(F.collect_list("_de").over(run)),
         "_until": F.lead("date_commande").over(ordered),
     }
     for m in C.SEASON_COEFFICIENTS:
         here = F.month("date_commande") == m
         totals[f"_q{m}"] = F.sum(F.when(here, F.col("_dq"))).over(run)
         totals[f"_n{m}"] = F.sum(F.when(here, F.col("_dn"))).over(run)
-    after_day = days.withColumns(totals)
+    after_day = _early_sums(
+        days.withColumns(totals | running).withColumn(
+            "_half", F.floor(F.col("frequency") / 2)), counts)
     freq, total = F.col("frequency"), F.col("total_qty")
     means = [(F.col(f"_q{m}") / F.col(f"_n{m}"), m)
              for m in C.SEASON_COEFFICIENTS]
@@ -174,21 +275,19 @@ def pair_states(main: DataFrame) -> DataFrame:
     weighted = sum((F.coalesce(v * F.lit(C.SEASON_COEFFICIENTS[m]),
                                F.lit(0.0)) for v, m in means), F.lit(0.0))
     spread = variance(freq, F.col("_above_sum"), F.col("_squares"), freq)
-    entries = F.col("_entries")
     gap = F.coalesce(gap_mean(F.col("_first"), F.col("date_commande"), freq),
                      F.lit(C.DEFAULT_GAP_DAYS))
     return after_day.select(
         *PAIR, F.col("date_commande").alias("_day"), "_until",
         (total / freq).alias("avg_qty"),
-        _weighted_median(entries, freq).alias("median_qty"),
         F.sqrt(spread).alias("std_qty"), "min_qty", "max_qty", "total_qty",
         "frequency", F.col("_dmax").alias("last_qty"),
         F.greatest(gap, F.lit(1.0)).alias("avg_delay_days"),
-        qty.trend(_early_sum(entries, freq), F.floor(freq / 2), total, freq)
+        qty.trend(F.col("_early"), F.col("_half"), total, freq)
         .alias("trend"),
         (weighted / F.greatest(mean_sum, F.lit(1.0)))
         .alias("avg_seasonal_coef"),
-        first_maximum(means).alias("best_month"))
+        first_maximum(means).alias("best_month"), *per_day, *running)
 
 
 def order_states(main: DataFrame) -> DataFrame:

@@ -122,3 +122,23 @@ def test_matrix_agrees_with_single_features(main):
             assert row[name] == pytest.approx(r[name]), name
         assert row.std_qty == pytest.approx(r.std_qty_matrix)
     assert not left
+
+
+def test_long_histories_equal_arrays(spark, monkeypatch):
+    """Medians by ranges of quantities, and by arrays, of the same pairs."""
+    main = spark.range(900).select(
+        F.concat(F.lit("C"), F.pmod(F.hash("id"), F.lit(3)))
+        .alias("code_client"), F.lit("P").alias("code_article"),
+        F.date_add(F.lit("2023-01-01"), F.pmod(F.hash("id", F.lit(1)),
+                                               F.lit(200)))
+        .alias("date_commande"),
+        (F.pmod(F.hash("id", F.lit(2)), F.lit(37)) / 3).alias("quantite"))
+    results = []
+    for limit in (10 ** 9, 0):
+        monkeypatch.setattr(visits, "ARRAY_ENTRIES", limit)
+        rows = visits.pair_states(main)
+        results.append(sorted(
+            (r["code_client"], r["_day"], r["frequency"],
+             round(r["median_qty"], 9), round(r["trend"], 9),
+             round(r["std_qty"], 9)) for r in rows.collect()))
+    assert results[0] == results[1] and len(results[0]) > 400
