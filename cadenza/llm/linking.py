@@ -8,7 +8,8 @@ tells nothing new.  Pairs are therefore tested in rounds.
 2. In buckets that still span several components, each member meets a few
    members more.
 3. In buckets that still do, the members outside the largest component meet
-   all members of other components.
+   all members of other components: as pairs in small buckets, and block by
+   block in large ones, where only links leave the meeting of two blocks.
 
 After the third round every untested pair lies inside one component, so the
 components are those of all links among candidates.  A bucket of n linked
@@ -27,6 +28,8 @@ from cadenza.llm.common import Scratch, bounded, connected_components
 FIRST_PARTNERS, SECOND_PARTNERS = 4, 8
 #: Members of a bucket that the second round offers as partners.
 SECOND_PIVOTS = 4
+#: Members of a small bucket, and about the members of a block.
+BLOCK = 64
 
 
 def shared_buckets(scratch: Scratch, members: DataFrame) -> DataFrame:
@@ -42,14 +45,17 @@ def shared_buckets(scratch: Scratch, members: DataFrame) -> DataFrame:
 
 def components(scratch: Scratch, members: DataFrame,
                near: Callable[[Callable, Callable], tuple[Column, Column]],
-               test: Callable[[DataFrame], DataFrame]) -> DataFrame:
+               test: Callable[[DataFrame], DataFrame],
+               evidence: DataFrame,
+               linked: Callable[[Column, Column], Column]) -> DataFrame:
     """(id, comp) for the ids with a link; comp is the smallest linked id.
 
     ``members`` (bucket, id, and what ``near`` needs) is a written table of
     shared buckets with the same other columns on every row of an id.
     ``near(a, b)`` gives a condition that every link fulfils and a distance,
     from functions that name the columns of either side.  ``test`` keeps the
-    linked ones of distinct pairs (a, b), a < b.
+    linked ones of distinct pairs (a, b), a < b; ``linked`` is the same test
+    on two members as structs, with the columns that ``evidence`` has by id.
     """
     payload = [c for c in members.columns if c not in ("bucket", "id")]
 
@@ -88,8 +94,12 @@ def components(scratch: Scratch, members: DataFrame,
         if rows.isEmpty():
             break
         if last:
-            outside = rows.where("comp <> main")
-            pairs = meet(outside, rows, best, ["comp"])
+            small = rows.where(F.col("size") <= BLOCK)
+            pairs = meet(small.where("comp <> main"), small, best, ["comp"])
+            found = connected_components(scratch, _block_links(
+                scratch, rows.where(F.col("size") > BLOCK).join(
+                    evidence, "id"), near, linked).union(
+                found.select("id", "comp").toDF("a", "b")))
         else:
             pairs = meet(rows.where("comp <> main"),
                          chosen(rows, 2, SECOND_PIVOTS), best, ["comp"])
@@ -117,6 +127,39 @@ def _open(scratch: Scratch, members: DataFrame, found: DataFrame,
     counts = rows.groupBy("bucket", "comp").agg(
         F.count(F.lit(1)).alias("n"))
     main = counts.groupBy("bucket").agg(
-        F.max(F.struct("n", "comp")).alias("m")).select(
-        "bucket", F.col("m.comp").alias("main"))
+        F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("size")
+    ).select("bucket", F.col("m.comp").alias("main"), "size")
     return rows.join(scratch.stage(main, "main-components"), "bucket")
+
+
+def _block_links(scratch: Scratch, rows: DataFrame, near,
+                 linked) -> DataFrame:
+    """(a, b): links between outside members and members of their bucket.
+
+    The members of a bucket are dealt into blocks by a hash; each pair of
+    blocks is one row, inside which all members meet.
+    """
+    member = F.struct(*[c for c in rows.columns
+                        if c not in ("bucket", "main", "size")])
+    blocks = F.ceil(F.col("size") / BLOCK)
+    dealt = scratch.stage(rows.select(
+        "bucket", (F.col("comp") != F.col("main")).alias("out"),
+        F.pmod(F.xxhash64("id"), blocks).alias("block"),
+        member.alias("m")), "block-members")
+
+    def gathered(chosen: DataFrame, name: str) -> DataFrame:
+        return chosen.groupBy("bucket", "block").agg(
+            F.collect_list("m").alias(name)).drop("block")
+
+    def meeting(x: Column, y: Column) -> Column:
+        condition, _ = near(lambda c: x[c], lambda c: y[c])
+        return (x["comp"] != y["comp"]) & condition & linked(x, y)
+
+    def partners(x: Column) -> Column:
+        return F.transform(
+            F.filter("all", lambda y: meeting(x, y)),
+            lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))
+
+    return gathered(dealt.where("out"), "some").join(
+        gathered(dealt, "all"), "bucket").select(F.inline(F.flatten(
+            F.transform("some", partners)))).distinct()

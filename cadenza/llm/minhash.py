@@ -239,7 +239,12 @@ def near_duplicates(scratch: Scratch, docs: DataFrame, settings: Settings,
         return ((common * 100 >= union * settings.percent)
                 & (far <= settings.most_different)), far
 
-    found = linking.components(scratch, members, near, test)
+    def linked(x: Column, y: Column) -> Column:
+        common = F.size(F.array_intersect(x["items"], y["items"]))
+        union = F.size(x["items"]) + F.size(y["items"]) - common
+        return common * 100 >= union * settings.percent
+
+    found = linking.components(scratch, members, near, test, sets, linked)
     labelled = classes.select("id", "d1", "d2", "n_shingles",
                               "first_doc").join(found, "id", "left")
     labelled = labelled.withColumn("comp", F.coalesce("comp", "id"))

@@ -1,6 +1,7 @@
 import random
 
 import helpers
+import pytest
 from pyspark.sql import functions as F
 
 from cadenza.llm import linking
@@ -42,8 +43,11 @@ def test_components_without_links(spark, scratch):
     assert connected_components(scratch, df).count() == 0
 
 
-def test_linking_finds_every_link_of_a_crowded_bucket(spark, scratch):
+@pytest.mark.parametrize("block", [1000, 20])
+def test_linking_finds_every_link_of_a_crowded_bucket(
+        spark, scratch, monkeypatch, block):
     """Numbers on a line: one bucket, links only between near ones."""
+    monkeypatch.setattr(linking, "BLOCK", block)
     rng = random.Random(5)
     points = {i: rng.randrange(2000) for i in range(150)}
     members = scratch.stage(spark.createDataFrame(
@@ -63,7 +67,9 @@ def test_linking_finds_every_link_of_a_crowded_bucket(spark, scratch):
                 .where("abs(pa - pb) <= 6").select("a", "b"))
 
     got = {r["id"]: r["comp"] for r in linking.components(
-        scratch, members, near, test).collect()}
+        scratch, members, near, test,
+        members.select("id", F.col("p").alias("q")).distinct(),
+        lambda x, y: F.abs(x["q"] - y["q"]) <= 6).collect()}
     links = [(a, b) for a in points for b in points
              if a < b and abs(points[a] - points[b]) <= 6]
     want = helpers.components(points, links)
