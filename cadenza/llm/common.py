@@ -150,7 +150,7 @@ def connected_components(scratch: Scratch, links: DataFrame,
     edges = scratch.stage(
         links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .where("u <> v").distinct(), "links")
-    while True:
+    while not edges.isEmpty():
         before = _checksum(edges)
         both = edges.union(edges.select(F.col("v"), F.col("u")))
         low = both.groupBy("u").agg(F.min("v").alias("w"))

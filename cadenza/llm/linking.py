@@ -87,7 +87,7 @@ def components(scratch: Scratch, members: DataFrame,
                                FIRST_PARTNERS, []), "pairs")
     links = scratch.stage(test(pairs), "tested")
     found = connected_components(scratch, links)
-    tested = pairs
+    tested, extra = pairs, None
     for best, last in ((SECOND_PARTNERS, False), (None, True)):
         found = scratch.stage(found, "components")
         rows = _open(scratch, members, found, payload)
@@ -96,18 +96,20 @@ def components(scratch: Scratch, members: DataFrame,
         if last:
             small = rows.where(F.col("size") <= BLOCK)
             pairs = meet(small.where("comp <> main"), small, best, ["comp"])
-            found = connected_components(scratch, _block_links(
-                scratch, rows.where(F.col("size") > BLOCK).join(
-                    evidence, "id"), near, linked).union(
-                found.select("id", "comp").toDF("a", "b")))
+            large = scratch.stage(rows.where(F.col("size") > BLOCK), "large")
+            extra = None if large.isEmpty() else _block_links(
+                scratch, large.join(evidence, "id"), near, linked)
         else:
             pairs = meet(rows.where("comp <> main"),
                          chosen(rows, 2, SECOND_PIVOTS), best, ["comp"])
         pairs = scratch.stage(pairs.join(tested, ["a", "b"], "left_anti"),
                               "pairs")
-        links = scratch.stage(test(pairs), "tested")
-        found = connected_components(scratch, links.select("a", "b").union(
-            found.select("id", "comp")))
+        links = test(pairs)
+        links = scratch.stage(links if extra is None else links.union(extra),
+                              "tested")
+        if not links.isEmpty():
+            found = connected_components(scratch, links.union(
+                found.select("id", "comp").toDF("a", "b")))
         tested = tested.union(pairs)
     return found
 
