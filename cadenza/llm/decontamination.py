@@ -1,8 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds and local alignment.
+"""Benchmark decontamination: n-gram seeds and local alignment.
 
-The n-grams of the test items are counted over the whole corpus.  An item's
-rarest n-grams are its seeds; a text that holds a seed is aligned with the
-item around it (Smith-Waterman over words), so that edited copies score too.
+Every n-gram of a test item is a seed, however often the corpus holds it.  A
+text that holds a seed and enough of the item's words around it is aligned
+with the item there (Smith-Waterman over words), so that edited copies score
+too.
 """
 
 from __future__ import annotations
@@ -34,15 +35,16 @@ BLOCK_WORDS = 500_000
 class Settings:
     """``ngram`` words make a seed.
 
-    Every n-gram of an item that at most ``rare`` texts hold is a seed, and
-    in each run of ``span`` n-grams the rarest one is, however frequent, so
-    that no part of an item goes without.  ``match``, ``mismatch`` and
+    Every n-gram of an item is a seed, so that what is found of an edited
+    copy does not depend on the corpus.  With a number for ``rare``, only
+    those that at most so many texts hold are, and in each run of ``span``
+    n-grams the rarest one, which loses more edited copies.  ``match``, ``mismatch`` and
     ``gap`` score the alignment; a text is contaminated if the score reaches
     ``share`` of that of the whole item.  An item of fewer than ``short``
     words must occur whole: parts of it are anybody's words.
     """
     ngram: int = 3
-    rare: int = 100
+    rare: int | None = None
     span: int = 4
     match: int = 2
     mismatch: int = -1
@@ -149,6 +151,10 @@ def choose_seeds(block, counts: dict[int, int], settings: Settings
     seeds: dict[int, list[tuple[int, int]]] = {}
     for number, (_, codes) in enumerate(block):
         grams = item_grams(codes, settings.ngram).tolist()
+        if settings.rare is None:
+            for i, gram in enumerate(grams):
+                seeds.setdefault(gram, []).append((number, i))
+            continue
         n = [counts.get(g, 0) for g in grams]
         chosen = {i for i, c in enumerate(n) if c <= settings.rare}
         for start in range(0, len(grams), settings.span):
@@ -210,6 +216,7 @@ def search(docs: DataFrame, block, seeds, settings: Settings,
     sizes = sorted({min(settings.ngram, len(c)) for _, c in block})
     grams = _Grams(np.array(sorted(seeds), np.uint64), sizes)
     owners = [seeds[int(g)] for g in grams.grams]
+    vocabularies = [np.unique(codes) for _, codes in block]
 
     def work(batch: pa.RecordBatch) -> dict:
         tasks: dict[int, list] = {}
@@ -224,6 +231,12 @@ def search(docs: DataFrame, block, seeds, settings: Settings,
             for number, found in starts.items():
                 for low, high in _windows(np.array(found), len(codes),
                                           len(block[number][1])):
+                    # each word scores one match at most
+                    common = int(np.isin(codes[low:high],
+                                         vocabularies[number]).sum())
+                    item = block[number][1]
+                    if common / len(item) < _least(item, settings):
+                        continue
                     tasks.setdefault(number, []).append(
                         (row, low, codes[low:high]))
         made = []
@@ -239,11 +252,16 @@ def search(docs: DataFrame, block, seeds, settings: Settings,
                      "end_word bigint", work)
 
 
+def _least(codes: np.ndarray, settings: Settings) -> float:
+    """The share of a full match that an item asks for."""
+    return settings.share if len(codes) >= settings.short else 1.0
+
+
 def _best(number: int, listed: list, item, settings: Settings) -> list:
     """(row, item, share, end) of the rows that reach the share."""
     _, codes = item
     full = settings.match * len(codes)
-    least = settings.share if len(codes) >= settings.short else 1.0
+    least = _least(codes, settings)
     best: dict[int, tuple[float, int]] = {}
     listed.sort(key=lambda task: len(task[2]))
     for start in range(0, len(listed), 256):
@@ -275,8 +293,9 @@ def contaminated(scratch: Scratch, docs: DataFrame, benchmark: DataFrame,
             "end_word bigint")
     for block in load_items(benchmark, item_id, item_text):
         # no more rows than the block has n-grams
-        counts = {row["gram"] & (2 ** 64 - 1): row["n"] for row in
-                  count_ngrams(docs, block, settings, text).collect()}
+        counts = {} if settings.rare is None else {
+            row["gram"] & (2 ** 64 - 1): row["n"] for row in
+            count_ngrams(docs, block, settings, text).collect()}
         hits = search(docs, block, choose_seeds(block, counts, settings),
                       settings, doc_id, text)
         ids = [number for number, _ in block]

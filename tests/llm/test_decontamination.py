@@ -102,3 +102,20 @@ def test_blocks_of_items_give_the_same(spark, scratch, monkeypatch):
     monkeypatch.setattr(D, "BLOCK_WORDS", 30)
     assert sorted(map(tuple, D.contaminated(
         scratch, docs, items_table(spark, items)).collect())) == whole
+
+
+def test_an_edited_copy_of_a_frequent_item_is_found(spark, scratch):
+    """Each n-gram of the item is in over 100 texts; every fourth word of
+    the copy is another, so that a seed of each four n-grams may be gone."""
+    rng = random.Random(4)
+    item = helpers.prose(rng, 20, 3000)
+    edited = item.split()
+    edited[2::4] = ["else"] * len(edited[2::4])
+    docs = [(i, f"{helpers.prose(rng, 30, 3000)} {item}", None, None)
+            for i in range(130)]
+    docs.append((900, " ".join([helpers.prose(rng, 30, 3000), *edited]),
+                 None, None))
+    docs.append((901, helpers.prose(rng, 60, 3000), None, None))
+    got = D.contaminated(scratch, helpers.documents(spark, docs),
+                         items_table(spark, [(1, item)])).collect()
+    assert {r["doc_id"] for r in got} == {*range(130), 900}
