@@ -20,6 +20,11 @@ from cadenza.llm.packing import public_byte_bpe
 
 #: A band reaches so many quartile distances beyond the quartiles.
 FENCE = 3.0
+#: The least reach beyond the quartiles: 0.1 characters a token, one token of
+#: ten, a quarter bit.  A class of copies, or without a fallback token, has
+#: quartiles without a distance.
+LEAST_REACH = {"chars_per_token": 0.1, "byte_share": 0.1,
+               "token_entropy": 0.25}
 #: Bands need so many documents; a smaller class rejects nothing.
 MIN_DOCUMENTS = 50
 #: Base rules.
@@ -110,7 +115,8 @@ def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     key = F.col(lang).cast("string") if lang else F.lit(None).cast("string")
     rows = docs.select(F.col(doc_id).alias("doc_id"),
-                       F.col(text).alias("text"), key.alias("lang"))
+                       F.col(text).alias("text"), key.alias("lang"),
+                       F.xxhash64(text).alias("version"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def setup():
@@ -133,14 +139,16 @@ def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             starts = counts.cumsum() - counts
             rows = [_row(texts[i], contents[i], ids[i], sizes, counts,
                          starts, flat, is_byte) for i in range(len(texts))]
-            made = {"doc_id": batch.column(0), "band": [
+            made = {"doc_id": batch.column(0), "version": batch.column(3),
+                    "band": [
                 name if name is not None else script(t) for name, t in
                 zip(batch.column(2).to_pylist(), texts)]}
             for i, name in enumerate(FIELDS):
                 made[name] = [row[i] for row in rows]
             return made
         return work
-    return map_arrow(rows, f"doc_id {kind}, band string, " + ", ".join(
+    return map_arrow(rows, f"doc_id {kind}, version bigint, band string, "
+                     + ", ".join(
         f"{n} {'double' if n in MEASURES else 'bigint'}" for n in FIELDS),
         None, setup)
 
@@ -177,7 +185,8 @@ def judge(scratch: Scratch, measured: DataFrame,
 
     A band belongs to a language (the script where it is null) and to a
     class of lengths, powers of two of words, and reaches ``fence`` quartile
-    distances beyond the quartiles.  A class with fewer than MIN_DOCUMENTS
+    distances beyond the quartiles, at least LEAST_REACH.  Equal texts of a
+    class count once for its band.  A class with fewer than MIN_DOCUMENTS
     rows rejects nothing.  Rows without words have no measures and fail the
     base rule, which also fails rows with under MIN_WORDS words or more than
     MAX_REPEAT_PERCENT of them repeated.  Bands are one row per class.
@@ -186,7 +195,8 @@ def judge(scratch: Scratch, measured: DataFrame,
         "length_class", F.floor(F.log2(F.greatest("n_words", F.lit(1))))
         .cast("int")), "fertility")
     quartiles = F.array(F.lit(0.25), F.lit(0.75))
-    bands = rows.groupBy("band", "length_class").agg(
+    texts = rows.dropDuplicates(["band", "length_class", "version"])
+    bands = texts.groupBy("band", "length_class").agg(
         F.count(F.lit(1)).alias("_n"),
         *[F.percentile_approx(m, quartiles, 10000).alias(f"_{m}")
           for m in MEASURES]).where(F.col("_n") >= MIN_DOCUMENTS)
@@ -194,7 +204,7 @@ def judge(scratch: Scratch, measured: DataFrame,
     inside = F.lit(True)
     for m in MEASURES:
         low, high = F.col(f"_{m}")[0], F.col(f"_{m}")[1]
-        reach = (high - low) * fence
+        reach = F.greatest((high - low) * fence, F.lit(LEAST_REACH[m]))
         inside = inside & F.coalesce(
             F.col(m).between(low - reach, high + reach), F.lit(True))
     failed = ((F.col("n_words") < MIN_WORDS)

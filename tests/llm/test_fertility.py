@@ -80,3 +80,25 @@ def test_empty_table_repeats_and_script(spark, scratch):
     assert Q.judge(scratch, Q.measure(docs.limit(0))).count() == 0
     assert [Q.script(t) for t in (None, "12", "слово", "漢字", "Ab")] == [
         "none", "none", "cyrillic", "han", "latin"]
+
+
+def prose(rng, count):
+    return helpers.prose(rng, count, 5000)
+
+
+def kept(scratch, spark, rows):
+    return {r["doc_id"]: r["kept"] for r in Q.judge(scratch, Q.measure(
+        helpers.documents(spark, rows))).collect()}
+
+
+def test_an_emoji_or_copies_do_not_reject_clean_texts(spark, scratch):
+    rng = __import__("random").Random(7)
+    rows = [(i, prose(rng, 100), "en", None) for i in range(80)]
+    rows.append((900, prose(rng, 99) + " \U0001F600", "en", None))
+    copy = prose(rng, 100)
+    rows += [(1000 + i, copy, "de", None) for i in range(400)]
+    rows += [(2000 + i, prose(rng, 100), "de", None) for i in range(60)]
+    got = kept(scratch, spark, rows)
+    assert got[900]
+    assert all(got[1000 + i] for i in range(400))
+    assert all(got[2000 + i] for i in range(60))
