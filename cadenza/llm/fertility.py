@@ -2,7 +2,8 @@
 
 Public vocabularies measure how well a text fits them: characters per token,
 the share of byte-fallback tokens, and the entropy of the tokens.  A text
-outside the band of its language (or script) and length class is rejected.
+outside the band of its language (or script) and length class is rejected;
+small classes take the band of another class, or a fixed one.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from cadenza.llm.common import Scratch, map_arrow
 from cadenza.llm.packing import public_byte_bpe
@@ -25,8 +26,11 @@ FENCE = 3.0
 #: quartiles without a distance.
 LEAST_REACH = {"chars_per_token": 0.1, "byte_share": 0.1,
                "token_entropy": 0.25}
-#: Bands need so many documents; a smaller class rejects nothing.
+#: Bands need so many documents; a smaller class takes another's band.
 MIN_DOCUMENTS = 50
+#: Bands where no class of the language or script has so many.
+FIXED_BANDS = {"chars_per_token": (0.2, 12.0), "byte_share": (0.0, 0.5),
+               "token_entropy": (2.0, 20.0)}
 #: Base rules.
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -139,15 +143,17 @@ def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             starts = counts.cumsum() - counts
             rows = [_row(texts[i], contents[i], ids[i], sizes, counts,
                          starts, flat, is_byte) for i in range(len(texts))]
+            scripts = [script(t) for t in texts]
             made = {"doc_id": batch.column(0), "version": batch.column(3),
-                    "band": [
-                name if name is not None else script(t) for name, t in
-                zip(batch.column(2).to_pylist(), texts)]}
+                    "band": [name if name is not None else found for
+                             name, found in zip(
+                                 batch.column(2).to_pylist(), scripts)],
+                    "script": scripts}
             for i, name in enumerate(FIELDS):
                 made[name] = [row[i] for row in rows]
             return made
         return work
-    return map_arrow(rows, f"doc_id {kind}, version bigint, band string, "
+    return map_arrow(rows, f"doc_id {kind}, version bigint, band string, script string, "
                      + ", ".join(
         f"{n} {'double' if n in MEASURES else 'bigint'}" for n in FIELDS),
         None, setup)
@@ -187,30 +193,53 @@ def judge(scratch: Scratch, measured: DataFrame,
     class of lengths, powers of two of words, and reaches ``fence`` quartile
     distances beyond the quartiles, at least LEAST_REACH.  Equal texts of a
     class count once for its band.  A class with fewer than MIN_DOCUMENTS
-    rows rejects nothing.  Rows without words have no measures and fail the
-    base rule, which also fails rows with under MIN_WORDS words or more than
-    MAX_REPEAT_PERCENT of them repeated.  Bands are one row per class.
+    texts takes the band of the nearest length of its language that has so
+    many, else of the nearest length of its script, else FIXED_BANDS; the
+    entropy's reach then grows by a bit for each class between, which is what
+    twice the tokens can add.  Rows without words have no measures and fail
+    the base rule, which also fails rows with under MIN_WORDS words or more
+    than MAX_REPEAT_PERCENT of them repeated.  Bands are one row per class.
     """
     rows = scratch.keep(measured.withColumn(
         "length_class", F.floor(F.log2(F.greatest("n_words", F.lit(1))))
         .cast("int")), "fertility")
     quartiles = F.array(F.lit(0.25), F.lit(0.75))
-    texts = rows.dropDuplicates(["band", "length_class", "version"])
-    bands = texts.groupBy("band", "length_class").agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[F.percentile_approx(m, quartiles, 10000).alias(f"_{m}")
-          for m in MEASURES]).where(F.col("_n") >= MIN_DOCUMENTS)
+
+    def measured_bands(key: str, rank: int) -> DataFrame:
+        texts = rows.dropDuplicates([key, "length_class", "version"])
+        return texts.groupBy(F.col(key).alias("_key"), F.col(
+            "length_class").alias("_class")).agg(
+            F.count(F.lit(1)).alias("_n"),
+            *[F.percentile_approx(m, quartiles, 10000).alias(f"_{m}")
+              for m in MEASURES]).where(F.col("_n") >= MIN_DOCUMENTS
+                                        ).withColumn("_rank", F.lit(rank))
+    known = scratch.keep(measured_bands("band", 0).union(
+        measured_bands("script", 1)), "known-bands")
+    # one row per class; the nearest of the known bands of each
+    classes = rows.select("band", "script", "length_class").distinct()
+    apart = F.abs(F.col("length_class") - F.col("_class"))
+    order = ["_rank", apart, "_class"]
+    bands = classes.join(
+        known, ((F.col("_rank") == 0) & (F.col("band") == F.col("_key")))
+        | ((F.col("_rank") == 1) & (F.col("script") == F.col("_key"))),
+        "left").withColumn("_at", F.row_number().over(Window.partitionBy(
+            "band", "script", "length_class").orderBy(*order))).where(
+        "_at = 1").withColumn("_apart", apart.cast("double"))
     bands = scratch.keep(bands, "bands")
     inside = F.lit(True)
     for m in MEASURES:
         low, high = F.col(f"_{m}")[0], F.col(f"_{m}")[1]
         reach = F.greatest((high - low) * fence, F.lit(LEAST_REACH[m]))
+        if m == "token_entropy":
+            reach = reach + F.col("_apart")
+        # null without a known band, then without a measure
         inside = inside & F.coalesce(
-            F.col(m).between(low - reach, high + reach), F.lit(True))
+            F.col(m).between(low - reach, high + reach),
+            F.col(m).between(*FIXED_BANDS[m]), F.lit(True))
     failed = ((F.col("n_words") < MIN_WORDS)
               | (F.col("n_repeat_words") * 100
                  > F.col("n_words") * MAX_REPEAT_PERCENT))
-    return (rows.join(bands, ["band", "length_class"], "left")
+    return (rows.join(bands, ["band", "script", "length_class"], "left")
             .withColumn("base_failed", failed)
             .withColumn("kept", ~failed & inside)
             .select("doc_id", "n_words", "word_chars", "n_symbols",

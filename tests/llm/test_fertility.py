@@ -102,3 +102,21 @@ def test_an_emoji_or_copies_do_not_reject_clean_texts(spark, scratch):
     assert got[900]
     assert all(got[1000 + i] for i in range(400))
     assert all(got[2000 + i] for i in range(60))
+
+
+def test_small_classes_are_judged(spark, scratch):
+    rng = __import__("random").Random(3)
+
+    def junk(count):
+        return " ".join("\u16a0\u16b1\u16c7" + helpers.word(
+            rng.randrange(5000)) for _ in range(count))
+    rows = [(i, prose(rng, 100), "en", None) for i in range(80)]
+    rows += [(900, prose(rng, 3000), "en", None),   # the only long ones
+             (901, junk(3000), "en", None),
+             (902, prose(rng, 100), "es", None),    # a rare language
+             (903, junk(100), "es", None)]
+    got = kept(scratch, spark, rows)
+    assert got[900] and got[902] and all(got[i] for i in range(80))
+    assert not got[901] and not got[903]
+    small = kept(scratch, spark, rows[80:])  # nothing to learn from
+    assert small == {900: True, 901: False, 902: True, 903: False}
