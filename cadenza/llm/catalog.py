@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cadenza.llm import (chat, decontamination, fertility, language_id,
-                         line_dedup, minhash, packing, sharding, url_filter,
-                         warc)
+from cadenza.llm import (chat, decontamination, fertility, hard_negatives,
+                         language_id, line_dedup, minhash, packing, sharding,
+                         slack_packing, url_filter, vectors, warc, whitening)
 from cadenza.llm.common import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,3 +173,63 @@ def op10_fertility(spark, sf_dir):
     with Scratch(spark) as scratch:
         return fertility.judge(scratch, fertility.measure(
             table(spark, sf_dir, "documents")))
+
+
+@query
+def op11_hard_negatives(spark, sf_dir):
+    """Labels of ids divisible by 7 move on by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10)
+    points = vectors.integer_vectors(
+        table(spark, sf_dir, "embeddings"), "embedding", "x", 256, {
+            "vec_id": F.col("vec_id"),
+            "label": F.coalesce(moved, F.col("label")),
+            "anchor": F.col("vec_id") % 100 == 0})
+    with Scratch(spark) as scratch:
+        return hard_negatives.mine(scratch, points)
+
+
+SQL["op11_hard_negatives"] = """
+WITH p AS (
+  SELECT vec_id,
+         CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END
+           AS label,
+         [floor(256 * CAST(c AS DOUBLE)) FOR c IN embedding] AS x
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND NOT list_contains([c IS NULL OR NOT isfinite(c)
+                           FOR c IN embedding], true)),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+         CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score
+  FROM p AS a JOIN p AS b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+g AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s
+  WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id
+                             ORDER BY score DESC, id) <= 5)
+SELECT g.anchor_id, positive_id, positive_score, id AS negative_id,
+       score AS negative_score, CAST(row_number() OVER w AS INTEGER) AS rank
+FROM g JOIN s ON s.anchor_id = g.anchor_id AND NOT same
+ AND 100 * score BETWEEN 30 * positive_score AND 90 * positive_score
+QUALIFY row_number() OVER w <= 10
+WINDOW w AS (PARTITION BY g.anchor_id, positive_id ORDER BY score DESC, id)
+"""
+
+
+@query
+def op12_slack_packing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    with Scratch(spark) as scratch:
+        return slack_packing.pack(scratch, docs).select(
+            "doc_id", "piece", "start", "length",
+            F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+@query
+def op13_whitening(spark, sf_dir):
+    with Scratch(spark) as scratch:
+        return whitening.whiten(
+            scratch, table(spark, sf_dir, "embeddings")).select(
+            "vec_id", "component", "n",
+            F.col("deviation").cast("long").alias("deviation"), "whitened",
+            "explained", "identity_error")
