@@ -99,6 +99,17 @@ def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def unused(taken: list[str], *names: str) -> list[str]:
+    """``names`` with underscores before them until none is in ``taken``."""
+    taken, found = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def number_rows(scratch: Scratch, df: DataFrame, order: list[Column],
                 name: str, groups: list[str] | None = None) -> DataFrame:
     """Add the long column ``name``: 0, 1, .. in ``order``, per group.
