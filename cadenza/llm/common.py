@@ -41,16 +41,42 @@ class Scratch:
         self._paths.append(path)
         return path
 
-    def stage(self, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` to the shared folder and read it back."""
-        path = scratch_path(self.spark, name)
-        if not keep:
-            self._paths.append(path)
-        df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return written(df, self.path(name))
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        return self.stage(df, name, keep=True)
+        path = scratch_path(self.spark, name)
+        if Kept.open:
+            Kept.open[-1].paths.append(path)
+        return written(df, path)
+
+
+class Kept:
+    """``with Kept(spark):`` removes on exit what ``keep`` wrote inside.
+
+    For a caller that writes the lazy result before the end.
+    """
+    open: list[Kept] = []
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Kept:
+        Kept.open.append(self)
+        return self
+
+    def __exit__(self, *error) -> None:
+        Kept.open.remove(self)
+        for path in self.paths:
+            remove(self.spark, path)
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` as read back from Parquet files at ``path``."""
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -8,13 +8,14 @@ from tokenizers import Tokenizer
 from cadenza.llm import packing as P
 
 REFERENCE = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-REFERENCE.encode_special_tokens = True
 ENCODE = P.public_byte_bpe()
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(max_size=60))
-def test_rank_file_gives_the_ids_of_the_json_file(text):
+@given(st.one_of(st.text(max_size=60), st.lists(st.sampled_from(
+    ["<|endoftext|>", "<|endoftext|", " ", "a", "é", "\n", "漢"]))
+    .map("".join)))
+def test_ids_are_those_of_the_json_file(text):
     text = text.encode("utf-8", "replace").decode()
     assert ENCODE(text) == REFERENCE.encode(
         text, add_special_tokens=False).ids
@@ -29,6 +30,10 @@ def read(rows):
     return by_doc
 
 
+def test_an_added_token_in_a_text_is_one_id():
+    assert ENCODE("a <|endoftext|> b") == [64, 220, 50256, 275]
+
+
 def test_pieces_rebuild_every_document(spark, scratch):
     texts = ["one two three", None, "", "again and again " * 900,
              "Ünïcode 漢字 <|endoftext|>", "x" * 5000]
