@@ -11,7 +11,9 @@ length by prefix sums, are then dealt to the bins.
 from __future__ import annotations
 
 import os
+import sys
 from collections.abc import Callable, Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -21,34 +23,65 @@ from cadenza.llm.common import Scratch, bounded, pieces
 
 SEQUENCE_LENGTH = 4096
 END_OF_TEXT = 1
-#: Different words whose ids a task remembers, and the longest of them.
+#: Different words whose ids a worker remembers, and the longest of them.
 REMEMBERED, LONGEST = 1_000_000, 64
+#: Marks that end words; after a letter or digit a run of them stands alone.
+MARKS = b".,;:!?#$%&*"
+_LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
 
 def public_word_bpe() -> Callable[[list[str]], list[bytes]]:
     """texts -> ids as little-endian unsigned 32-bit numbers.
 
-    The vocabulary drops white space and joins nothing across it, so that a
-    text's ids are those of its words; a task remembers them.
+    The vocabulary drops white space, joins nothing across it and lower-
+    cases, so that a text's ids are those of its words.  A worker process
+    remembers them from task to task.
     """
+    store = sys.modules.setdefault(
+        "word_ids_of_this_worker", ModuleType("word_ids_of_this_worker"))
+    if not hasattr(store, "encode"):
+        store.encode = _word_encoder()
+    return store.encode
+
+
+def _word_encoder() -> Callable[[list[str]], list[bytes]]:
     import public_tokenizers
     from tokenizers import Tokenizer
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the threads
     own = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     known: dict[bytes, bytes] = {}
 
+    merge = own.model.tokenize
+
+    def ask(words: set[bytes]) -> None:
+        # nothing is normalised in words of these letters, nor are they cut
+        plain = {w for w in words if w.isalpha() and w.islower()}
+        for word in plain:
+            known[word] = np.array([x.id for x in merge(word.decode())],
+                                   "<u4").tobytes()
+        rest = list(words - plain)
+        for word, e in zip(rest, own.encode_batch_fast(
+                [w.decode() for w in rest], add_special_tokens=False)):
+            known[word] = np.array(e.ids, "<u4").tobytes()
+
     def encode(texts: list[str]) -> list[bytes]:
-        split = [t.encode().split() for t in texts]
+        # a special token's string is one in its own case only
+        raw = [t.encode() for t in texts]
+        split = [(t if b"<|" in t else t.lower()).split() for t in raw]
         if len(known) > REMEMBERED:
             known.clear()
-        new = list(set().union(*split).difference(known))
-        for word, e in zip(new, own.encode_batch_fast(
-                [w.decode() for w in new], add_special_tokens=False)):
-            known[word] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        new = set().union(*split).difference(known)
+        ends = {}
         for word in new:
-            if len(word) > LONGEST:
-                del known[word]
+            head = word.rstrip(MARKS)
+            if head != word and head and head[-1] in _LETTERS:
+                ends[word] = head, word[len(head):]
+        ask(new.difference(ends).union(*ends.values()).difference(known))
+        for word, (head, marks) in ends.items():
+            known[word] = known[head] + known[marks]
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        for word in [w for w in new if len(w) > LONGEST]:
+            del known[word]
         return out
     return encode
 
