@@ -1,5 +1,7 @@
 """Order-quantity expressions: variation, sizing, clamping."""
 
+from fractions import Fraction
+
 from pyspark.sql import Column, functions as F
 
 from cadenza import constants as C
@@ -15,6 +17,23 @@ def variation(std: Column, avg: Column,
     return F.when(avg > 0, std / avg).otherwise(F.lit(undefined))
 
 
+def varies_more(dispersion: Column, total: Column,
+                threshold: float) -> Column:
+    """The variation exceeds ``threshold``, decided without a division.
+
+    With n quantities of sum S and squares Q the population variation is
+    sqrt(n Q - S^2) / S.  ``dispersion`` is n Q - S^2; a variation that is
+    the threshold to the last digit does not exceed it.  Where the sum is
+    not positive the variation counts as very large.
+    """
+    share = Fraction(str(threshold))
+    exact = total.cast("decimal(18,4)")
+    return F.when(total > 0, dispersion.cast("decimal(30,4)")
+                  * F.lit(share.denominator ** 2)
+                  > exact * exact * F.lit(share.numerator ** 2)
+                  ).otherwise(True)
+
+
 def relative_recency(recency: Column, gap: Column) -> Column:
     """Recency over mean gap; a zero gap counts as the default gap."""
     return recency / F.when(gap == 0, F.lit(C.DEFAULT_GAP_DAYS)).otherwise(gap)

@@ -206,6 +206,11 @@ def with_variation(rows: DataFrame) -> DataFrame:
         "historic_qty": F.ceil("avg_qty").cast("double")})
 
 
+def _above(threshold: float) -> Column:
+    return qty.varies_more(F.col("qty_dispersion"), F.col("total_qty"),
+                           threshold)
+
+
 def threshold_report(rows: DataFrame,
                      thresholds: tuple[float, ...] = (1.0, 0.8)) -> DataFrame:
     """Error of the baseline, the model and the hybrid per CV threshold."""
@@ -213,7 +218,7 @@ def threshold_report(rows: DataFrame,
     y, model, hist = F.col("target_qty"), F.col("prediction"), F.col(
         "historic_qty")
     guesses = {"baseline": hist, "model": model} | {
-        f"hybrid_cv_{t}": F.when(F.col("cv") > t, hist).otherwise(model)
+        f"hybrid_cv_{t}": F.when(_above(t), hist).otherwise(model)
         for t in thresholds}
     row = df.agg(*[
         measure(y, guess).alias(f"{name}|{kind}")
@@ -231,7 +236,7 @@ def frontier_report(rows: DataFrame, low: float = 0.8,
                     high: float = 1.0) -> DataFrame:
     """Rows whose source changes between the two thresholds."""
     df = with_variation(rows)
-    edge = (F.col("cv") > low) & (F.col("cv") <= high)
+    edge = _above(low) & ~_above(high)
     y = F.when(edge, F.col("target_qty"))
     model, hist = F.col("prediction"), F.col("historic_qty")
     return df.agg(
@@ -249,12 +254,11 @@ def switch_report(rows: DataFrame, low: float = 0.8, high: float = 1.0,
                   shown: int = 5) -> DataFrame:
     """Per client the rows by threshold band and the first switched rows."""
     df = with_variation(rows)
-    cv = F.col("cv")
-    edge = (cv > low) & (cv <= high)
+    edge = _above(low) & ~_above(high)
     counts = df.groupBy("code_client").agg(
         F.count("*").alias("n_rows"),
-        F.count_if(cv > high).alias("n_history_both"),
-        F.count_if(cv <= low).alias("n_model_both"),
+        F.count_if(_above(high)).alias("n_history_both"),
+        F.count_if(~_above(low)).alias("n_model_both"),
         F.count_if(edge).alias("n_switched"))
     order = Window.partitionBy("code_client").orderBy(
         "visit_date", "code_facture", "societe", "code_article")

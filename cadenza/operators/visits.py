@@ -280,7 +280,10 @@ def _states(counts: DataFrame, per_day: dict[str, Column],
     return after_day.select(
         *PAIR, F.col("date_commande").alias("_day"), "_until",
         (total / freq).alias("avg_qty"),
-        F.sqrt(spread).alias("std_qty"), "min_qty", "max_qty", "total_qty",
+        F.sqrt(spread).alias("std_qty"), F.greatest(
+            freq * F.col("_squares") - F.col("_above_sum")
+            * F.col("_above_sum"), F.lit(0.0)).alias("qty_dispersion"),
+        "min_qty", "max_qty", "total_qty",
         "frequency", F.col("_dmax").alias("last_qty"),
         F.greatest(gap, F.lit(1.0)).alias("avg_delay_days"),
         qty.trend(F.col("_early"), F.col("_half"), total, freq)
@@ -352,8 +355,8 @@ def visit_dataset(main: DataFrame, min_history: int = C.MIN_HISTORY_LINES,
     rows = rows.join(sold(main), [*VISIT, "code_article"], "left")
     return rows.select(
         *VISIT, *PAIR, "categorie", "designation", "avg_qty", "median_qty",
-        "std_qty", "min_qty", "max_qty", "total_qty", "frequency", "last_qty",
-        "recency_days", "avg_delay_days", "recency_relative", "trend",
+        "std_qty", "qty_dispersion", "min_qty", "max_qty", "total_qty",
+        "frequency", "last_qty", "recency_days", "avg_delay_days", "recency_relative", "trend",
         "avg_seasonal_coef", "best_month", "current_month_coef", "visit_date",
         F.col("_sold").isNotNull().cast("int").alias("target_bought"),
         F.coalesce("_sold", F.lit(0.0)).alias("target_qty"))

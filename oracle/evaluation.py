@@ -126,17 +126,26 @@ SELECT count(*) AS n, round(avg(prediction), 4) AS mean,
   quantile_cont(prediction, 0.5) AS p50,
   quantile_cont(prediction, 0.75) AS p75, max(prediction) AS max
 FROM pos_rows"""
+
+
+def _above(top, bottom):
+    """The variation exceeds top / bottom, in whole numbers and decimals."""
+    return f"""(total_qty <= 0
+    OR qty_dispersion::DECIMAL(28, 4) * {bottom ** 2} > total_qty::DECIMAL(
+      15, 4) * total_qty::DECIMAL(15, 4) * {top ** 2})"""
+
+
 _GUESSES = {"baseline": "historic_qty", "model": "prediction",
-            "hybrid_cv_1.0":
-                "CASE WHEN cv > 1.0 THEN historic_qty ELSE prediction END",
-            "hybrid_cv_0.8":
-                "CASE WHEN cv > 0.8 THEN historic_qty ELSE prediction END"}
+            "hybrid_cv_1.0": f"CASE WHEN {_above(1, 1)} THEN historic_qty "
+                             "ELSE prediction END",
+            "hybrid_cv_0.8": f"CASE WHEN {_above(4, 5)} THEN historic_qty "
+                             "ELSE prediction END"}
 SQL["cv_threshold_eval"] = " UNION ALL ".join(f"""
 SELECT '{name}' AS approach, round({_mae(g)}, 4) AS mae,
   round({_rmse(g)}, 4) AS rmse, round(({_mae("historic_qty")} - {_mae(g)})
     / {_mae("historic_qty")} * 100, 4) AS gain_pct
 FROM pos_rows WHERE part = 'test'""" for name, g in _GUESSES.items())
-_EDGE = "cv > 0.5 AND cv <= 0.7"
+_EDGE = f"{_above(1, 2)} AND NOT {_above(7, 10)}"
 SQL["cv_frontier"] = f"""
 SELECT count(*) FILTER ({_EDGE}) AS n_frontier, count(*) AS n_rows,
   round({_mae("prediction", _EDGE)}, 4) AS mae_model,
@@ -152,8 +161,8 @@ SQL["cv_switches"] = f"""
 SELECT c.*, f.position, f.code_article, round(f.cv, 4) AS cv, f.prediction,
   f.historic_qty, f.target_qty
 FROM (SELECT code_client, count(*) AS n_rows,
-    count(*) FILTER (cv > 0.7) AS n_history_both,
-    count(*) FILTER (cv <= 0.5) AS n_model_both,
+    count(*) FILTER ({_above(7, 10)}) AS n_history_both,
+    count(*) FILTER (NOT {_above(1, 2)}) AS n_model_both,
     count(*) FILTER ({_EDGE}) AS n_switched FROM pos_rows GROUP BY 1) c
 LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (
       PARTITION BY code_client ORDER BY visit_date, code_facture, societe,

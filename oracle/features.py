@@ -146,7 +146,9 @@ SELECT d.code_client, d.visit_date, d.code_article,
   arg_min(designation, (date_commande, categorie, designation))
     AS designation,
   avg(quantite) AS avg_qty, median(quantite) AS median_qty,
-  stddev_pop(quantite) AS std_qty, min(quantite) AS min_qty,
+  stddev_pop(quantite) AS std_qty,
+  count(*) * sum(quantite * quantite) - sum(quantite) * sum(quantite)
+    AS qty_dispersion, min(quantite) AS min_qty,
   max(quantite) AS max_qty, sum(quantite) AS total_qty,
   count(*) AS frequency,
   arg_max(quantite, pos) AS last_qty,
