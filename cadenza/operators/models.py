@@ -6,6 +6,7 @@ boosting read files and never recompute the feature joins.
 """
 
 from datetime import datetime, timezone
+from functools import partial, reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cadenza import constants as C
 from cadenza.functions import quantities as qty
-from cadenza.operators import evaluation as ev
+from cadenza.operators import boosting, evaluation as ev
 from cadenza.operators.ordered import ranked
 from cadenza.operators.pair_features import PAIR
 from cadenza.operators.sampling import hash_number
@@ -66,18 +67,16 @@ def best_round(losses: list[float], patience: int = C.PATIENCE) -> int:
     return at
 
 
-def fit_rounds(booster, train: DataFrame, validation: DataFrame,
-               patience: int, *loss: str):
-    """Fit all rounds, keep those up to the best one on ``validation``.
+def fit_rounds(booster, train: DataFrame, losses, patience: int):
+    """Fit all rounds once and cut the model after the best one.
 
-    Returns the model and its number of rounds.  Boosting with the same seed
-    repeats its first rounds, so the second fit is the first one, cut.
+    ``losses(model)`` gives the loss of each round.  Returns the model and
+    its number of rounds.
     """
     model = booster.fit(train)
-    rounds = best_round(model.evaluateEachIteration(validation, *loss),
-                        patience)
-    if rounds < booster.getMaxIter():
-        model = booster.copy({booster.maxIter: rounds}).fit(train)
+    rounds = best_round(losses(model), patience)
+    if rounds < model.getNumTrees:
+        model = boosting.cut(model, rounds)
     return model, rounds
 
 
@@ -89,7 +88,8 @@ def train_classifier(dataset: DataFrame, train_cutoff: str,
                      ) -> tuple[PipelineModel, DataFrame]:
     """Fit on the train part, stop early on validation, measure on test.
 
-    Positives weigh negatives / positives of the train part.  Returns the
+    The best round is that of the largest area under the precision-recall
+    curve of the validation part.  Positives weigh negatives / positives of the train part.  Returns the
     model and one row of metrics.  ``extra_train`` are rows that only ever
     train (answers to proposals, say); its ``weight`` counts a row that many
     times.
@@ -126,9 +126,13 @@ def train_classifier(dataset: DataFrame, train_cutoff: str,
         featureSubsetStrategy=C.COLUMN_SAMPLING,
         minInstancesPerNode=C.MIN_ROWS_PER_LEAF, weightCol="sample_weight",
         seed=seed)
+    validation = ready.filter(part == "validation")
+
+    def losses(model) -> list[float]:
+        curve = boosting.staged_pr_auc(model, validation)
+        return [-r["pr_auc"] for r in curve.orderBy("round").collect()]
     model, rounds = fit_rounds(
-        booster, ready.filter(part == "train"),
-        ready.filter(part == "validation"), patience)
+        booster, ready.filter(part == "train"), losses, patience)
     pipeline = PipelineModel([assembler, model])
     scored = pipeline.transform(split.filter(part == "test"))
     per_part = [f(F.when(part == name, c)).alias(f"{name}_{what}")
@@ -207,9 +211,11 @@ def train_regressor(dataset: DataFrame, objective: str = "absolute",
         featureSubsetStrategy=C.COLUMN_SAMPLING, weightCol="sample_weight",
         minInstancesPerNode=C.MIN_ROWS_PER_LEAF, seed=seed)
     part = F.col("part")
+    validation = ready.filter(part == "validation")
     model, rounds = fit_rounds(
         booster, ready.filter(part == "train"),
-        ready.filter(part == "validation"), patience, objective)
+        lambda model: model.evaluateEachIteration(validation, objective),
+        patience)
     pipeline = PipelineModel([assembler, model, SQLTransformer(
         statement=f"SELECT *, {back} AS quantity FROM __THIS__")])
     test = pipeline.transform(split.filter(part == "test")).withColumn(
@@ -230,15 +236,15 @@ def train_regressor(dataset: DataFrame, objective: str = "absolute",
 
 
 def compare_regressors(dataset: DataFrame, **limits) -> DataFrame:
-    """Both objectives and the log target side by side."""
+    """Both objectives and the log target, fitted at the same time."""
     rows = write_and_read(dataset.filter(F.col("target_qty") > 0).select(
         *C.REGRESSOR_FEATURES, "target_qty", "code_client"), "bought-rows")
-    report = None
-    for objective, scale in (("squared", "plain"), ("absolute", "relative"),
-                             ("absolute", "log")):
-        _, metrics = train_regressor(rows, objective, scale, **limits)
-        report = metrics if report is None else report.unionByName(metrics)
-    return report
+    reports = [metrics for _, metrics in boosting.side_by_side([
+        partial(train_regressor, rows, objective, scale, **limits)
+        for objective, scale in (("squared", "plain"),
+                                 ("absolute", "relative"),
+                                 ("absolute", "log"))])]
+    return reduce(DataFrame.unionByName, reports)
 
 
 # -- use ---------------------------------------------------------------------

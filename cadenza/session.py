@@ -52,13 +52,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of this job through Spark's own file system layer."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def remove_files(table: DataFrame) -> None:
     """Delete the folders that a table of ``write_and_read`` was read from."""
-    spark = table.sparkSession
     for folder in {os.path.dirname(f) for f in table.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(
-            path, True)
+        remove_folder(table.sparkSession, folder)
 
 
 def write_and_read(df: DataFrame, name: str) -> DataFrame:

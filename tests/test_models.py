@@ -1,7 +1,11 @@
 import pytest
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressor
 
 from cadenza import constants as C
-from cadenza.operators import feedback, models
+from cadenza.operators import boosting, evaluation, feedback, models
 from cadenza.plans.tables import Tables
 from cadenza.sources.testbed import TRAIN_CUTOFF, VALIDATION_CUTOFF
 
@@ -97,3 +101,64 @@ def test_unseen_category_becomes_unknown(spark):
     got = {r.categorie: r.categorie_encoded
            for r in models.encode_categories(new, encoder).collect()}
     assert got == {"A": 0.0, "UNKNOWN": 2.0}
+
+
+def average_precision(labels, bins):
+    """By hand: precision at each range of scores times its recall."""
+    hits = seen = total = 0.0
+    for b in sorted(set(bins), reverse=True):
+        own = [y for y, x in zip(labels, bins) if x == b]
+        hits, seen = hits + sum(own), seen + len(own)
+        total += sum(own) * hits / seen
+    return total / sum(labels)
+
+
+def test_staged_curve_equals_a_loop_over_cut_models(spark):
+    rows = spark.range(900).selectExpr(
+        "double(id % 17) AS a", "double(hash(id) % 50) AS b",
+        "double(if(id % 17 > 9, hash(id, 1) % 4 <> 0, hash(id, 2) % 5 = 0)) "
+        "AS label")
+    data = VectorAssembler(inputCols=["a", "b"],
+                           outputCol="features").transform(rows)
+    model = GBTClassifier(maxIter=12, maxDepth=4, stepSize=0.3,
+                          subsamplingRate=0.7, seed=1).fit(data)
+    got = [r["pr_auc"] for r in boosting.staged_pr_auc(
+        model, data, bins=512).orderBy("round").collect()]
+    want = []
+    for rounds in range(1, 13):
+        short = boosting.cut(model, rounds)
+        assert short.getNumTrees == rounds
+        assert short.treeWeights == model.treeWeights[:rounds]
+        scored = short.transform(data).select(
+            "label", vector_to_array("probability")[1].alias("p")).collect()
+        want.append(average_precision(
+            [r["label"] for r in scored],
+            [min(int(512 * r["p"]), 511) for r in scored]))
+    assert got == pytest.approx(want)
+    assert models.best_round([-x for x in got]) == models.best_round(
+        [-x for x in want])
+    # ranges of scores are fine enough
+    exact = evaluation.ranking_quality(model.transform(data).select(
+        "label", vector_to_array("probability")[1].alias("score"))).first()
+    fine = boosting.staged_pr_auc(model, data).filter("round = 12").first()
+    assert fine["pr_auc"] == pytest.approx(exact["pr_auc"], abs=2e-3)
+
+
+def test_cut_model_equals_the_one_fitted_so_far(spark, tmp_path):
+    rows = spark.range(400).selectExpr(
+        "double(id % 13) AS a", "double(hash(id) % 29) AS b",
+        "double(id % 13 * 2 + hash(id, 3) % 7) AS label")
+    data = VectorAssembler(inputCols=["a", "b"],
+                           outputCol="features").transform(rows)
+    booster = GBTRegressor(maxIter=9, maxDepth=3, seed=5, lossType="absolute",
+                           featureSubsetStrategy="onethird")
+    whole = booster.fit(data)
+    short = boosting.cut(whole, 4)
+    again = booster.copy({booster.maxIter: 4}).fit(data)
+
+    def guesses(model):
+        return [r["prediction"] for r in model.transform(data).collect()]
+    assert guesses(short) == guesses(again) != guesses(whole)
+    short.write().save(str(tmp_path / "short"))
+    assert guesses(type(short).load(str(tmp_path / "short"))) == guesses(
+        short)
