@@ -6,7 +6,7 @@ from cadenza import schemas, session
 from cadenza.operators import (coldstart, entity_features, feedback as fb)
 from cadenza.plans.registry import as_long, query, rounded
 from cadenza.sources import feedback_store, sinks, testbed
-from cadenza.streaming import feedback_stream as fs
+from cadenza.streaming import feedback_stream as fs, pair_state
 
 
 def _rows(t):
@@ -131,10 +131,10 @@ def feedback_dedup(t):
 
 @query
 def pair_state_stream(t):
-    """Running state per (client, product) after the whole feed."""
+    """State per (client, product) after the whole feed, from the store."""
     path = fs.new_path(t.spark, "pairs")
-    fs.run_updates(fs.pair_state(fb.flatten(_feed(t))), path, "pairs")
-    return rounded(fs.latest_state(t.spark, path), "avg_gap_days")
+    pair_state.run(fb.flatten(_feed(t)), path)
+    return rounded(pair_state.live(t.spark, path), "avg_gap_days")
 
 
 @query

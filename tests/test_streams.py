@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cadenza import schemas
 from cadenza.operators import feedback as fb
-from cadenza.streaming import feedback_stream as fs
+from cadenza.streaming import feedback_stream as fs, pair_state
 
 START = datetime(2024, 3, 1, 8)
 
@@ -75,10 +75,48 @@ def test_ingest_keeps_late_rows(spark, tmp_path):
     assert spark.read.parquet(path).count() == sum(map(len, BATCHES))
 
 
-def test_pair_state_after_a_restart(spark, tmp_path):
+def test_update_tables_after_a_restart(spark, tmp_path):
     path = str(tmp_path / "state")
     run_twice(spark, tmp_path, lambda rows: fs.run_updates(
         fs.pair_state(rows), path, "pairs"))
     whole = fb.flatten(spark.createDataFrame(
         [r for batch in BATCHES for r in batch], schemas.FEEDBACK_REQUEST))
     same(fs.latest_state(spark, path), fs.pair_state(whole))
+
+
+def test_keyed_state_after_a_restart_and_a_late_row(spark, tmp_path):
+    path = str(tmp_path / "pairs")
+    run_twice(spark, tmp_path, lambda rows: pair_state.run(rows, path))
+    # the row behind the watermark is not in the state
+    same(pair_state.live(spark, path), fs.pair_state(batch_rows(spark)))
+    assert spark.read.parquet(path).count() == 0
+
+
+def test_state_has_one_row_a_pair_however_many_batches(spark, tmp_path):
+    folder, path = str(tmp_path / "feed"), str(tmp_path / "pairs")
+    sent = []
+    for day in range(5):
+        sent += [request(day), request(day + 0.3), request(day, "C2")]
+        spark.createDataFrame(sent[-3:], schemas.FEEDBACK_REQUEST).coalesce(
+            1).write.mode("append").parquet(folder)
+        pair_state.run(fb.flatten(feed(spark, folder)), path)
+        assert pair_state.live(spark, path).count() == 2
+    same(pair_state.live(spark, path), fs.pair_state(fb.flatten(
+        spark.createDataFrame(sent, schemas.FEEDBACK_REQUEST))))
+
+
+def test_an_idle_pair_ends_and_may_begin_again(spark, tmp_path):
+    folder, path = str(tmp_path / "feed"), str(tmp_path / "pairs")
+    for batch in ([request(0), request(1)], [request(9, "C2")],
+                  [request(15, "C2")], [request(16)], [request(17, "C2")]):
+        spark.createDataFrame(batch, schemas.FEEDBACK_REQUEST).coalesce(
+            1).write.mode("append").parquet(folder)
+        pair_state.run(fb.flatten(feed(spark, folder)), path, idle_days=5)
+    first = START.date()
+    ended = spark.read.parquet(path).collect()
+    assert (ended[0].client_id, ended[0].n_orders, ended[0].total_qty,
+            ended[0].first_date, ended[0].last_date) == (
+        "C1", 2, 4, first, first + timedelta(1))
+    live = {r.client_id: r.n_orders for r in pair_state.live(
+        spark, path).collect()}
+    assert live["C1"] == 1
