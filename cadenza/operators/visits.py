@@ -350,7 +350,12 @@ def visit_dataset(main: DataFrame, min_history: int = C.MIN_HISTORY_LINES,
                   min_appearances: int = C.MIN_PRODUCT_APPEARANCES,
                   ) -> DataFrame:
     """One row per (visit, candidate product) with features and targets."""
-    features = day_features(main, min_history, min_appearances)
+    return with_targets(day_features(main, min_history, min_appearances),
+                        main)
+
+
+def with_targets(features: DataFrame, main: DataFrame) -> DataFrame:
+    """Day features on every invoice of the day, and what it sold."""
     rows = features.join(visits(main), ["code_client", "visit_date"])
     rows = rows.join(sold(main), [*VISIT, "code_article"], "left")
     return rows.select(

@@ -3,9 +3,11 @@
 from pyspark.sql import functions as F
 
 from cadenza.functions import calendar as cal
-from cadenza.operators import entity_features, pair_features, visits as v
-from cadenza.operators import sampling
+from cadenza.operators import (entity_features, increments, pair_features,
+                               sampling, visits as v)
 from cadenza.plans.registry import as_long, query, rounded
+from cadenza.session import write_and_read
+from cadenza.sources import testbed
 from cadenza.sources.testbed import REFERENCE_DATE
 
 
@@ -171,6 +173,22 @@ def visit_features(t):
         "best_month"), *VISIT_DOUBLES)
 
 
+@query
+def visit_increments(t):
+    """The whole training set from a base and two increments."""
+    main, day = t.main_stage(), F.col("date_commande")
+    cuts = [F.lit(c).cast("date") for c in (testbed.TRAIN_CUTOFF,
+                                            testbed.VALIDATION_CUTOFF)]
+    state, rows = None, None
+    for part in (day <= cuts[0], (day > cuts[0]) & (day <= cuts[1]),
+                 day > cuts[1]):
+        built = increments.extend(state, main.filter(part), write_and_read)
+        state = built.state
+        rows = built.rows if rows is None else rows.unionByName(built.rows)
+    return rounded(as_long(rows, "best_month", "target_bought"),
+                   *VISIT_DOUBLES)
+
+
 @query
 def visit_targets(t):
     return as_long(v.targets(t.main_stage()), "target_bought")

@@ -349,6 +349,14 @@ SELECT * EXCLUDE (target_bought, target_qty) REPLACE (
   round(avg_seasonal_coef, 4) AS avg_seasonal_coef,
   best_month::BIGINT AS best_month)
 FROM dataset"""
+SQL["visit_increments"] = """
+SELECT * REPLACE (
+  round(avg_qty, 4) AS avg_qty, round(std_qty, 4) AS std_qty,
+  round(avg_delay_days, 4) AS avg_delay_days,
+  round(recency_relative, 4) AS recency_relative, round(trend, 4) AS trend,
+  round(avg_seasonal_coef, 4) AS avg_seasonal_coef,
+  best_month::BIGINT AS best_month, target_bought::BIGINT AS target_bought)
+FROM dataset"""
 SQL["visit_targets"] = """
 SELECT code_facture, societe, code_client, code_article, visit_date,
   target_bought::BIGINT AS target_bought, target_qty FROM dataset"""

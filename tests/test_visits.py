@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadenza.constants import SEASON_COEFFICIENTS
-from cadenza.operators import pair_features, visits
+from cadenza.operators import increments, pair_features, visits
+from cadenza.session import write_and_read
 
 
 @pytest.fixture(scope="module")
@@ -142,3 +143,49 @@ def test_long_histories_equal_arrays(spark, monkeypatch):
              round(r["median_qty"], 9), round(r["trend"], 9),
              round(r["std_qty"], 9)) for r in rows.collect()))
     assert results[0] == results[1] and len(results[0]) > 400
+
+
+def test_increments_equal_the_whole_build(spark, lines, main):
+    """A base and two increments, one of them with late lines."""
+    whole = {(r.code_facture, r.societe, r.code_article): r
+             for r in visits.visit_dataset(main).collect()}
+    days = sorted({r[4] for r in lines})
+    cuts = days[len(days) // 3], days[2 * len(days) // 3]
+    state, got = None, {}
+    for low, high in ((None, cuts[0]), (cuts[0], cuts[1]), (cuts[1], None)):
+        part = main
+        if low:
+            part = part.filter(F.col("date_commande") > F.lit(low))
+        if high:
+            part = part.filter(F.col("date_commande") <= F.lit(high))
+        again = main.filter(F.col("date_commande") == F.lit(days[0]))
+        built = increments.extend(
+            state, part if state is None else part.union(again),
+            write_and_read)
+        if state is not None:
+            assert built.late.count() == again.count() > 0
+        state = built.state
+        assert state.count() == state.select(
+            "code_client", "code_article").distinct().count()
+        for r in built.rows.collect():
+            key = (r.code_facture, r.societe, r.code_article)
+            assert key not in got
+            got[key] = r
+    assert set(got) == set(whole)
+    for key, r in got.items():
+        for name, value in whole[key].asDict().items():
+            assert r[name] == pytest.approx(value) if isinstance(
+                value, float) else r[name] == value, (key, name)
+
+
+def test_an_increment_does_not_read_old_lines(spark, lines, main):
+    """The tail of a state holds half of a pair's lines, its counts all."""
+    state = increments.extend(None, main, write_and_read).state
+    sizes = {}
+    for r in lines:
+        sizes[r[:2]] = sizes.get(r[:2], 0) + 1
+    for r in state.collect():
+        n = sizes[(r.code_client, r.code_article)]
+        assert r._lines == n == sum(e.n for e in r._hist)
+        assert sum(e.n for e in r._tail) == n - n // 2
+        assert len({e.q for e in r._hist}) == len(r._hist)
