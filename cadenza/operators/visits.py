@@ -24,6 +24,7 @@ from cadenza import constants as C
 from cadenza.functions import calendar as cal, quantities as qty
 from cadenza.operators.pair_features import (
     PAIR, _ordered, _running, first_maximum, gap_mean, order_counts, variance)
+from cadenza.session import write_by_key
 
 VISIT = ["code_facture", "societe"]
 
@@ -218,8 +219,19 @@ ARRAY_ENTRIES = 256
 
 def pair_states(main: DataFrame) -> DataFrame:
     """State of every pair after each of its days, valid until ``_until``."""
-    counts = order_counts(main).repartition(*PAIR).withColumn(
-        "_size", F.count(F.lit(1)).over(Window.partitionBy(*PAIR)))
+    return _states_of(pair_counts(main, {}))
+
+
+def pair_counts(main: DataFrame, extra: dict[str, Column]) -> DataFrame:
+    """Counted lines, laid out by pair: all windows below read them as they
+    lie.  ``_size`` is the number of the pair's counts."""
+    counts = order_counts(main, extra).repartition(*PAIR)
+    return write_by_key(counts.withColumn("_size", F.count(F.lit(1)).over(
+        Window.partitionBy(*PAIR))), "pair-counts", PAIR)
+
+
+def _states_of(written: DataFrame) -> DataFrame:
+    counts = written.select(*PAIR, "date_commande", "quantite", "n", "_size")
     short = counts.filter(F.col("_size") <= ARRAY_ENTRIES).drop("_size")
     long = counts.filter(F.col("_size") > ARRAY_ENTRIES).drop("_size")
     entries = F.flatten(F.collect_list("_de").over(
@@ -229,6 +241,8 @@ def pair_states(main: DataFrame) -> DataFrame:
         F.col("quantite").alias("q"), F.col("n").alias("n"))))},
         {"_entries": entries}).withColumn("median_qty", _weighted_median(
             F.col("_entries"), F.col("frequency"))).drop("_entries", "_de")
+    if long.isEmpty():  # an optimization only: the branch would be empty
+        return bounded
     medians = _long_medians(long).withColumnRenamed("date_commande", "_day")
     unbounded = _states(long, {}, {}).join(medians, [*PAIR, "_day"])
     return bounded.unionByName(unbounded)
@@ -314,19 +328,21 @@ def state_before(main: DataFrame) -> DataFrame:
         F.col("_day").alias("last_date"))
 
 
-def _first_names(main: DataFrame) -> DataFrame:
+def _first_names(counts: DataFrame) -> DataFrame:
     """Category and designation of the pair's first line."""
-    first = F.min(F.struct("date_commande", "categorie", "designation"))
-    return main.groupBy(*PAIR).agg(first.alias("_f")).select(
-        *PAIR, F.col("_f.categorie").alias("categorie"),
-        F.col("_f.designation").alias("designation"))
+    first = F.min(F.struct("date_commande", "_name"))
+    return counts.groupBy(*PAIR).agg(first.alias("_f")).select(
+        *PAIR, F.col("_f._name.categorie").alias("categorie"),
+        F.col("_f._name.designation").alias("designation"))
 
 
 def day_features(main: DataFrame, min_history: int = C.MIN_HISTORY_LINES,
                  min_appearances: int = C.MIN_PRODUCT_APPEARANCES,
                  ) -> DataFrame:
     """Features of every candidate (client, product) before a visit day."""
-    states = pair_states(main).join(_first_names(main), PAIR)
+    counts = pair_counts(main, {"_name": F.min(F.struct(
+        "categorie", "designation"))})
+    states = _states_of(counts).join(_first_names(counts), PAIR)
     if min_appearances > 1:
         states = states.filter(F.col("frequency") >= min_appearances)
     rows = _spread(states, _calendar(main, min_history))

@@ -52,6 +52,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+def write_by_key(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Write a table laid out by ``keys`` and read it back.
+
+    The files are buckets, as many as a shuffle has partitions, and each is
+    sorted.  Windows, groups and joins by the keys read them as they lie,
+    without an exchange.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, name)
+    table = os.path.basename(path).replace("-", "_")
+    (df.repartition(buckets, *keys).write.option("path", path)
+     .bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table))
+    return spark.table(table)
+
+
 def remove_folder(spark: SparkSession, folder: str) -> None:
     """Delete a folder of this job through Spark's own file system layer."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

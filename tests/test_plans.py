@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from cadenza.operators import cleaning, pair_features, ranking as rk
+from cadenza.operators import (cleaning, pair_features, ranking as rk,
+                               visits)
 from cadenza.plans.catalog import QUERIES
 from cadenza.plans.tables import Tables
 from cadenza.session import write_and_read
@@ -59,3 +60,15 @@ def test_filter_reaches_the_scan(spark):
     text = plan(lines)
     assert "GreaterThan(quantite,1000.0)" in text
     assert "ReadSchema: struct<quantite:double,code_client:string>" in text
+
+
+def test_visit_features_read_pairs_as_they_lie(spark):
+    """One exchange of counted lines by pair, when they are laid out; later
+    only rows that change their key move."""
+    main = Tables(spark, FOLDER).main_stage()
+    dataset = visits.visit_dataset(main)
+    text = plan(dataset)
+    assert "Bucketed: true" in text
+    assert text.count("Exchange hashpartitioning") <= 5
+    assert text.count("Exchange hashpartitioning(code_client") <= 4
+    assert "collect_list" in text and dataset.count() > 0
