@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from cadenza import schemas, session
 from cadenza.operators import cleaning, joining, profiling, sampling
 from cadenza.plans.registry import query
-from cadenza.sources import sinks
+from cadenza.sources import quarantine, sinks
 
 
 @query
@@ -23,6 +23,35 @@ def src_clients(t):
     return t.raw_clients()
 
 
+@query
+def csv_quarantine(t):
+    """The lines as CSV files with broken rows: what is read and what not.
+
+    By the hash of number and position a row gets a field too many, or a
+    quantity or a line number that is none.
+    """
+    lines = t.raw_source_lines()
+    draw = sampling.hash_number(F.coalesce("Document No_", F.lit("")),
+                                F.coalesce("Line No_", F.lit(0)).cast(
+                                    "string")) % 100
+    cells = {c: F.col(f"`{c}`").cast("string") for c in lines.columns}
+    cells["Quantity"] = F.when(draw.between(3, 5), "n/a").otherwise(
+        cells["Quantity"])
+    cells["Line No_"] = F.when(draw.between(6, 7), "x1").otherwise(
+        cells["Line No_"])
+    text = F.to_csv(F.struct(*[v.alias(c) for c, v in cells.items()]))
+    path = session.scratch_path(t.spark, "csv-lines")
+    lines.select(F.when(draw < 3, F.concat(text, F.lit(",more"))).otherwise(
+        text).alias("value")).write.text(path)
+    good, broken = quarantine.read_csv(t.spark, path, schemas.RAW_LINES,
+                                       session.write_and_read)
+    kept = good.agg(F.lit("read").alias("reason"), F.count("*").alias("n"),
+                    F.sum("Quantity").alias("total_qty"))
+    return kept.unionByName(broken.groupBy("reason").agg(
+        F.count("*").alias("n"), F.lit(None).cast("double")
+        .alias("total_qty")))
+
+
 @query
 def load_profile(t):
     return profiling.load_profile(t.raw_invoices(), t.raw_lines(),

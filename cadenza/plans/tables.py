@@ -56,6 +56,10 @@ class Tables:
     def raw_lines(self) -> DataFrame:
         return extracts.name_lines(testbed.raw_lines(self.spark, self.sf_dir))
 
+    def raw_source_lines(self) -> DataFrame:
+        """Lines with the column names of the delivered files."""
+        return testbed.raw_lines(self.spark, self.sf_dir)
+
     def raw_clients(self) -> DataFrame:
         return extracts.name_clients(
             testbed.raw_clients(self.spark, self.sf_dir))

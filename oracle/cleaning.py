@@ -3,6 +3,17 @@
 SQL = {}
 
 SQL["src_invoices"] = "SELECT * FROM raw_inv"
+SQL["csv_quarantine"] = """
+SELECT reason, count(*) AS n, sum(quantite) FILTER (reason = 'read')
+  AS total_qty
+FROM (SELECT quantite, CASE WHEN draw < 3 THEN 'number of fields'
+    WHEN draw BETWEEN 3 AND 5 THEN 'Quantity is no double'
+    WHEN draw BETWEEN 6 AND 7 THEN 'Line No_ is no bigint'
+    ELSE 'read' END AS reason
+  FROM (SELECT quantite, ('0x' || substr(md5(coalesce(code_facture, '') || '|'
+      || coalesce(numero_ligne, 0)), 1, 12))::BIGINT % 100 AS draw
+    FROM raw_lin))
+GROUP BY reason"""
 SQL["src_lines"] = "SELECT * FROM raw_lin"
 SQL["src_clients"] = "SELECT * FROM raw_gps"
 
