@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from cadenza import schemas, session
 from cadenza.operators import (coldstart, entity_features, feedback as fb)
 from cadenza.plans.registry import as_long, query, rounded
-from cadenza.sources import feedback_store, sinks, testbed
+from cadenza.sources import (feedback_batches as batches, feedback_store,
+                             sinks, testbed)
 from cadenza.streaming import feedback_stream as fs, pair_state
 
 
@@ -52,6 +53,19 @@ def feedback_load(t):
     return stored.orderBy("submitted_at")
 
 
+@query
+def feedback_batches(t):
+    """Three batches, one of them sent twice, a month compacted, and what
+    was submitted from a date on."""
+    path = session.scratch_path(t.spark, "feedback")
+    rows = session.write_and_read(_rows(t), "feedback-rows")
+    part = F.pmod(F.dayofmonth("submitted_at"), F.lit(3))
+    for number in (0, 1, 2, 1):
+        batches.put(rows.filter(part == number), path, number)
+    batches.compact(t.spark, path, "2024-01")
+    return batches.load(t.spark, path, "2024-01-15")
+
+
 @query
 def feedback_stats(t):
     """Acceptance and modification rates per client, product and month."""

@@ -64,6 +64,7 @@ SELECT date_visite_mois, count(*) AS n_items,
 FROM fb GROUP BY date_visite_mois"""
 SQL["feedback_load"] = """
 SELECT * FROM fb WHERE submitted_at >= TIMESTAMP '2024-01-15'"""
+SQL["feedback_batches"] = SQL["feedback_load"]
 SQL["feedback_stats"] = " UNION ALL ".join(f"""
 SELECT '{key}' AS level, {key} AS value, count(*) AS n_items,
   count(*) FILTER (accepte) AS n_accepted,
