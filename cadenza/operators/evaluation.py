@@ -232,6 +232,47 @@ def threshold_report(rows: DataFrame,
         for name in guesses])))
 
 
+def threshold_curve(rows: DataFrame) -> DataFrame:
+    """Error of the hybrid at every threshold of the variation.
+
+    Only the variations that occur matter: above the threshold the mean
+    quantity is taken, up to it the model.  Sums of both errors per distinct
+    variation and their running totals give all thresholds in one pass.  The
+    threshold -1 stands for the mean quantity everywhere, and of any other
+    number the error is that of the largest threshold up to it.
+    """
+    total, spread = F.col("total_qty"), F.col("qty_dispersion")
+    cv = F.when(total > 0, F.sqrt(spread) / total).otherwise(
+        F.lit(C.CV_UNDEFINED))
+    y, sums = F.col("target_qty"), {}
+    for name, guess in (("model", F.col("prediction")),
+                        ("history", F.ceil("avg_qty").cast("double"))):
+        sums[f"{name}_abs"] = F.sum(F.abs(y - guess))
+        sums[f"{name}_sq"] = F.sum((y - guess) * (y - guess))
+    sums["n"] = F.count(F.lit(1))
+    counts = write_and_read(rows.groupBy(cv.alias("threshold")).agg(
+        *[c.alias(n) for n, c in sums.items()]), "variation-sums")
+    whole = as_struct_scalar(counts.agg(*[F.sum(n).alias(n) for n in sums]),
+                             *sums)
+    placed = running_totals(counts, "threshold", list(sums)).select(
+        "threshold", *[(F.col(f"{n}_before") + F.col(n)).alias(n)
+                       for n in sums])
+    none = counts.limit(1).select(
+        F.lit(-1.0).alias("threshold"),
+        *[F.lit(0).cast(counts.schema[n].dataType).alias(n) for n in sums])
+    all_rows = placed.unionByName(none).withColumn("_t", whole)
+
+    def mean(kind: str) -> Column:
+        return (F.col(f"model_{kind}") + F.col(f"_t.history_{kind}")
+                - F.col(f"history_{kind}")) / F.col("_t.n")
+    curve = all_rows.select(
+        "threshold", mean("abs").alias("mae"),
+        F.sqrt(mean("sq")).alias("rmse"),
+        (F.col("_t.n") - F.col("n")).alias("n_history"))
+    best = curve.agg(F.min_by("threshold", F.struct("mae", "threshold")))
+    return curve.withColumn("is_best", F.col("threshold") == best.scalar())
+
+
 def frontier_report(rows: DataFrame, low: float = 0.8,
                     high: float = 1.0) -> DataFrame:
     """Rows whose source changes between the two thresholds."""

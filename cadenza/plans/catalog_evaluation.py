@@ -107,6 +107,14 @@ def cv_threshold_eval(t):
     return rounded(ev.threshold_report(test), "mae", "rmse", "gain_pct")
 
 
+@query
+def cv_curve(t):
+    """Error of the hybrid at every variation that occurs in the test part."""
+    test = ev.group_split(_sized_positives(t)).filter(
+        F.col("part") == "test")
+    return rounded(ev.threshold_curve(test), "mae", "rmse")
+
+
 @query
 def cv_frontier(t):
     return rounded(ev.frontier_report(_sized_positives(t), 0.5, 0.7),

@@ -145,6 +145,22 @@ SELECT '{name}' AS approach, round({_mae(g)}, 4) AS mae,
   round({_rmse(g)}, 4) AS rmse, round(({_mae("historic_qty")} - {_mae(g)})
     / {_mae("historic_qty")} * 100, 4) AS gain_pct
 FROM pos_rows WHERE part = 'test'""" for name, g in _GUESSES.items())
+SQL["cv_curve"] = """
+WITH v AS (SELECT CASE WHEN total_qty > 0
+    THEN sqrt(qty_dispersion) / total_qty ELSE 999 END AS threshold,
+    abs(target_qty - prediction) AS ma, abs(target_qty - historic_qty) AS ha
+  FROM pos_rows WHERE part = 'test'),
+s AS (SELECT threshold, sum(ma) AS ma, sum(ha) AS ha, sum(ma * ma) AS ms,
+    sum(ha * ha) AS hs, count(*) AS n FROM v GROUP BY threshold
+  UNION ALL SELECT -1, 0, 0, 0, 0, 0),
+c AS (SELECT threshold, (sum(ma) OVER upto + sum(ha) OVER () - sum(ha) OVER
+    upto) / sum(n) OVER () AS mae,
+    sqrt((sum(ms) OVER upto + sum(hs) OVER () - sum(hs) OVER upto)
+      / sum(n) OVER ()) AS rmse,
+    (sum(n) OVER () - sum(n) OVER upto)::BIGINT AS n_history
+  FROM s WINDOW upto AS (ORDER BY threshold))
+SELECT threshold, round(mae, 4) AS mae, round(rmse, 4) AS rmse, n_history,
+  row_number() OVER (ORDER BY mae, threshold) = 1 AS is_best FROM c"""
 _EDGE = f"{_above(1, 2)} AND NOT {_above(7, 10)}"
 SQL["cv_frontier"] = f"""
 SELECT count(*) FILTER ({_EDGE}) AS n_frontier, count(*) AS n_rows,
