@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from cadenza import constants as C
-from cadenza.operators import joining, profiling as p, seasonality as s
+from cadenza.operators import (joining, profiling as p, seasonality as s,
+                               sketches)
 from cadenza.plans.registry import as_long, query, rounded
+from cadenza.session import write_and_read
 
 
 @query
@@ -39,6 +41,27 @@ def qty_quantiles(t):
                    "p50", "p90", "p95", "p99")
 
 
+@query
+def sketched_months(t):
+    """Months from daily sketches: exact sums, and errors within bounds.
+
+    Distinct counts within 5 % (three standard errors), quantiles within
+    2 % of the wanted rank.
+    """
+    main = t.main_stage()
+    month = F.date_format("date_commande", "yyyy-MM")
+    days = write_and_read(sketches.daily(main), "daily-sketches")
+    found = sketches.errors(sketches.estimates(sketches.merged(
+        days, month.alias("period"))), main, month)
+    return found.select(
+        "period", "n_lines", "total_qty",
+        *[f"exact_{k}" for k in sketches.KEYS],
+        *[(F.col(f"error_{k}") <= 0.05).alias(f"{k}_within")
+          for k in sketches.KEYS],
+        *[(F.col(f"error_{p}") <= 0.02).alias(f"{p}_within")
+          for p in sketches.SHARES])
+
+
 @query
 def key_numbers(t):
     return rounded(p.key_numbers(t.main_stage()), "avg_qty_line",

