@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cadenza import constants as C
 from cadenza.operators import (evaluation as ev, feedback as fb, models as m,
-                               proposals as pr, ranking, visits)
+                               new_products, proposals as pr, ranking, visits)
 from cadenza.plans.registry import as_long, query, rounded
 from cadenza.sources import testbed
 from cadenza.sources.testbed import TRAIN_CUTOFF, VALIDATION_CUTOFF
@@ -185,6 +185,25 @@ def cf_hybrid(t):
     return rounded(rows, "probabilite_achat")
 
 
+@query
+def cf_new_products(t):
+    """Each client's five best products that it has never ordered.
+
+    Every client has ordered some and lacks some of the 28 products, so it
+    gets as many as it lacks, five at most.
+    """
+    found = new_products.suggest(t.scored(), k=5)
+    ordered = t.scored().select("code_client", "code_article")
+    return found.join(ordered.withColumn("_o", F.lit(True)),
+                      ["code_client", "code_article"], "left").groupBy(
+        "code_client").agg(
+        F.count("*").alias("n_products"),
+        (F.max("rank") == F.count("*")).alias("ranks_are_gapless"),
+        F.bool_and(F.col("_o").isNull()).alias("never_ordered"),
+        F.bool_and(F.abs(F.col("hybrid_score") - F.col("cf_score") * 0.4)
+                   < 1e-12).alias("is_blend"))
+
+
 @query
 def retrain(t):
     """Purchase model on order history plus feedback answers."""
