@@ -120,10 +120,12 @@ def model_metadata(t):
     schema = (metrics.withColumn("trained_at", F.lit(""))
               .withColumn("feature_columns", F.array(F.lit(""))).schema)
     loaded, metadata, codes = m.load(t.spark, path, schema)
-    probe = t.dataset_stage().limit(200).select(*C.REGRESSOR_FEATURES)
-    same = m._numeric(probe, C.REGRESSOR_FEATURES)
-    apart = loaded.transform(same).agg(F.sum("quantity").alias("q")).first()
-    again = model.transform(same).agg(F.sum("quantity").alias("q")).first()
+    features = m._numeric(t.dataset_stage().select(*C.REGRESSOR_FEATURES),
+                          C.REGRESSOR_FEATURES)
+    ours = model.transform(features).select(
+        *C.REGRESSOR_FEATURES, F.col("quantity").alias("_ours"))
+    differing = loaded.transform(ours).filter(
+        ~F.col("quantity").eqNullSafe(F.col("_ours"))).count()
     return as_long(metadata, "n_training_positives", "train_clients",
                    "test_clients").select(
         "objective", "scale", "n_training_positives", "train_clients",
@@ -132,7 +134,7 @@ def model_metadata(t):
         F.lit(len(loaded.stages)).cast("long").alias("n_stages"),
         F.array_join(F.array(*[F.lit(c) for c in codes.labels]), ",")
         .alias("categories"), (F.col("trained_at") != "").alias("stamped"),
-        F.lit(abs(apart["q"] - again["q"]) < 1e-6).alias("same_model"))
+        F.lit(differing == 0).alias("same_model"))
 
 
 @query
@@ -164,6 +166,15 @@ def model_proposals(t):
         "capped", "ranks_are_gapless", "sized", "scored", "explained")])
 
 
+@query
+def served_proposals(t):
+    """Every suggestion of the trained models, row by row."""
+    scored = pr.score_latest(t.main_stage(), t.dataset_stage(),
+                             classifier(t)[0], regressor(t)[0],
+                             testbed.REFERENCE_DATE)
+    return pr.suggestions(scored)
+
+
 @query
 def what_if_sweep(t):
     """Predicted quantity while the last quantity varies."""
