@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import helpers
 import numpy as np
@@ -69,8 +70,7 @@ def test_an_item_that_every_text_holds_is_found(spark, scratch):
     docs = [(i, f"{helpers.prose(rng, 40)} {common}", None, None)
             for i in range(150)]
     got = D.contaminated(scratch, helpers.documents(spark, docs),
-                         items_table(spark, [(1, common)]),
-                         D.Settings(rare=2)).collect()
+                         items_table(spark, [(1, common)])).collect()
     assert {r["doc_id"] for r in got} == set(range(150))
 
 
@@ -93,15 +93,117 @@ def test_edge_rows(spark, scratch):
     assert D.contaminated(scratch, docs, items.limit(0)).count() == 0
 
 
-def test_blocks_of_items_give_the_same(spark, scratch, monkeypatch):
-    rng = random.Random(9)
-    items = [(i, helpers.prose(rng, 20, 999)) for i in range(5)]
-    docs = helpers.documents(spark, [(i, t, None, None) for i, t in items])
-    whole = sorted(map(tuple, D.contaminated(
-        scratch, docs, items_table(spark, items)).collect()))
-    monkeypatch.setattr(D, "BLOCK_WORDS", 30)
-    assert sorted(map(tuple, D.contaminated(
-        scratch, docs, items_table(spark, items)).collect())) == whole
+def test_equals_all_items_against_all_texts(spark, scratch):
+    """Whole alignments of every pair, no seeds and no windows."""
+    rng = random.Random(31)
+    items = [(i, helpers.prose(rng, rng.choice((1, 2, 5, 9, 25)), 500))
+             for i in range(12)] + [(90, None), (91, "")]
+    texts = []
+    for i in range(60):
+        text = helpers.prose(rng, rng.randrange(0, 120), 500).split()
+        if i % 2:
+            item = items[i % 12][1].split()
+            for _ in range(len(item) * (i % 3) // 10):
+                item[rng.randrange(len(item))] = "else"
+            at = rng.randrange(len(text) + 1)
+            text[at:at] = item
+        texts.append((i, " ".join(text), None, None))
+    s, want = D.Settings(), {}
+    for number, item in items:
+        a = D.hashes(D.words(item))
+        for i, text, *_ in texts if len(a) else ():
+            share = smith_waterman(a, D.hashes(D.words(text)), s) / (
+                s.match * len(a))
+            if share >= D._least(len(a), s):
+                want[i, number] = share
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in D.contaminated(
+        scratch, helpers.documents(spark, texts), items_table(
+            spark, items)).collect()}
+    assert got == want and len(want) > 30
+
+
+@pytest.mark.parametrize("copies", [0, 400])
+def test_recall_of_edited_copies(spark, scratch, copies):
+    """The same, whether or not the corpus is full of the items' n-grams."""
+    rng = random.Random(17)
+    items = [(i, helpers.prose(rng, 40, 4000)) for i in range(60)]
+    docs, planted = [], {}
+    for percent in (10, 20, 30):
+        for number, item in items:
+            edited = item.split()
+            for at in rng.sample(range(40), 40 * percent // 100):
+                edited[at] = helpers.word(9000 + rng.randrange(999))
+            text = helpers.prose(rng, 60, 4000).split()
+            text[30:30] = edited
+            docs.append((len(docs), " ".join(text), None, None))
+            planted[docs[-1][0]] = percent, number
+    for i in range(copies):  # runs of items, too short to count
+        item = items[i % 60][1].split()
+        at = rng.randrange(30)
+        docs.append((10000 + i, " ".join([
+            helpers.prose(rng, 20, 4000), *item[at:at + 10],
+            helpers.prose(rng, 20, 4000)]), None, None))
+    got = {(r["doc_id"], r["item_id"]) for r in D.contaminated(
+        scratch, helpers.documents(spark, docs),
+        items_table(spark, items)).collect()}
+    recall = {p: sum((doc, number) in got for doc, (own, number)
+                     in planted.items() if own == p) / 60
+              for p in (10, 20, 30)}
+    assert recall[10] == 1 and recall[20] == 1 and recall[30] >= 0.9, recall
+    assert not [d for d, _ in got if d >= 10000]
+
+
+def test_of_two_adjacent_grams_one_is_a_seed(spark):
+    items = spark.createDataFrame(
+        [(1, [10, 11, 12, 13, 14]), (2, [20]), (3, [30, 31])],
+        "item bigint, grams array<bigint>")
+    counts = spark.createDataFrame(
+        [(10, 5), (11, 2), (12, 9), (14, 1), (20, 1000), (30, 3), (31, 3)],
+        "gram bigint, n bigint")
+    got = {(r["item"], r["position"]) for r in
+           D.choose_seeds(items, counts).collect()}
+    # 13 is in no text, so that its neighbours stand in for it
+    assert got == {(1, 1), (1, 2), (1, 4), (2, 0), (3, 0), (3, 1)}
+
+
+def test_a_very_long_text_takes_bounded_memory():
+    rng = np.random.default_rng(3)
+    item = rng.integers(1, 2 ** 60, 12).astype(np.uint64)
+    text = np.tile(np.concatenate([item[:5], rng.integers(
+        1, 2 ** 60, 5).astype(np.uint64), item[5:]]), 60000)
+    short = [(item.copy(), item, np.array([0]))] * 300
+    pairs = [(text, item, np.arange(0, len(text), 17)), *short]
+    s = D.Settings()
+    tracemalloc.start()
+    found = D.best_alignments(pairs, s)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(text) > 10 ** 6 and peak < 500 << 20
+    assert found[0][0] == 0 and len(found) == 301
+    assert found[0][1] * 24 == smith_waterman(item, text[:200], s)
+    assert all(share == 1 for _, share, _ in found[1:])
+
+
+def test_pieces_of_a_window_hold_every_alignment(monkeypatch):
+    monkeypatch.setattr(D, "CELLS", 8)
+    rng = np.random.default_rng(8)
+    s = D.Settings()
+    for _ in range(30):
+        item = rng.integers(0, 9, 8).astype(np.uint64)
+        text = rng.integers(0, 30, 300).astype(np.uint64)
+        at = rng.integers(0, 290)
+        text[at:at + 8] = item[:len(text[at:at + 8])]
+        found = D.best_alignments([(text, item, np.arange(300))], s)
+        assert found[0][1] * 16 == smith_waterman(item, text, s)
+
+
+def test_characters_are_words_where_there_are_no_blanks(spark, scratch):
+    item = "春眠不覺曉處處聞啼鳥夜來風雨聲花落知多少"
+    edited = "山" + item[:9] + "雪" + item[10:] + "水"
+    got = D.contaminated(scratch, helpers.documents(spark, [
+        (1, edited, None, None), (2, item[::-1], None, None)]),
+        items_table(spark, [(1, item)])).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in got] == [(1, 1)]
 
 
 def test_an_edited_copy_of_a_frequent_item_is_found(spark, scratch):
