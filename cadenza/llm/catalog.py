@@ -124,6 +124,31 @@ def op6_near_duplicates(spark, sf_dir):
             minhash.Settings(words=2)), "near-duplicates")
 
 
+SQL["op6_near_duplicates"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) < 2 THEN w
+    ELSE [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))] END) AS s
+  FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+link AS (
+  SELECT a.doc_id AS x, b.doc_id AS y
+  FROM e AS a JOIN e AS b ON a.g = b.g AND a.doc_id <> b.doc_id
+   AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (
+  SELECT doc_id, doc_id AS r FROM w
+  UNION SELECT reach.doc_id, link.y FROM reach JOIN link ON link.x = reach.r),
+c AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id,
+       s.doc_id = component_id AS kept
+FROM s JOIN c ON c.doc_id = s.doc_id"""
+
+
 @query
 def op7_warc(spark, sf_dir):
     """The archives stay: the result is read from them when it is used."""
