@@ -185,6 +185,37 @@ def _row(text, content, ids, sizes, counts, starts, flat, is_byte):
             float(is_byte[tokens].mean()), entropy]
 
 
+def quartiles(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _n, and for each measure the array [lower, upper] quartile).
+
+    Values are rounded to a thousandth and counted, so that the quartiles
+    are exact, and the same in every run, whatever the size of a group: a
+    group has as many counts as there are values.
+    """
+    values = rows.select(*keys, F.inline(F.array(*[F.struct(
+        F.lit(m).alias("_m"), F.round(m, 3).alias("_v"))
+        for m in MEASURES]))).groupBy(*keys, "_m", "_v").agg(
+        F.count(F.lit(1)).alias("_c"))
+    group = Window.partitionBy(*keys, "_m")
+    upto = group.orderBy("_v").rowsBetween(Window.unboundedPreceding,
+                                           Window.currentRow)
+    # texts without a measure count for the size of a group only
+    placed = values.withColumns({
+        "_all": F.sum("_c").over(group),
+        "_known": F.sum(F.when(F.col("_v").isNotNull(), F.col("_c")))
+        .over(group),
+        "_upto": F.sum(F.when(F.col("_v").isNotNull(), F.col("_c")))
+        .over(upto)})
+
+    def quartile(m: str, share: float):
+        return F.min(F.when((F.col("_m") == m) & (
+            F.col("_upto") >= F.col("_known") * share), F.col("_v")))
+    return placed.groupBy(*keys).agg(
+        F.max("_all").alias("_n"),
+        *[F.array(quartile(m, 0.25), quartile(m, 0.75)).alias(f"_{m}")
+          for m in MEASURES])
+
+
 def judge(scratch: Scratch, measured: DataFrame,
           fence: float = FENCE) -> DataFrame:
     """Add ``base_failed`` and ``kept`` by the bands of all rows.
@@ -203,28 +234,25 @@ def judge(scratch: Scratch, measured: DataFrame,
     rows = scratch.keep(measured.withColumn(
         "length_class", F.floor(F.log2(F.greatest("n_words", F.lit(1))))
         .cast("int")), "fertility")
-    quartiles = F.array(F.lit(0.25), F.lit(0.75))
 
     def measured_bands(key: str, rank: int) -> DataFrame:
-        texts = rows.dropDuplicates([key, "length_class", "version"])
-        return texts.groupBy(F.col(key).alias("_key"), F.col(
-            "length_class").alias("_class")).agg(
-            F.count(F.lit(1)).alias("_n"),
-            *[F.percentile_approx(m, quartiles, 10000).alias(f"_{m}")
-              for m in MEASURES]).where(F.col("_n") >= MIN_DOCUMENTS
-                                        ).withColumn("_rank", F.lit(rank))
+        texts = rows.dropDuplicates([key, "length_class", "version"]).select(
+            F.col(key).alias("_key"), F.col("length_class").alias("_class"),
+            *MEASURES)
+        return quartiles(texts, ["_key", "_class"]).where(
+            F.col("_n") >= MIN_DOCUMENTS).withColumn("_rank", F.lit(rank))
     known = scratch.keep(measured_bands("band", 0).union(
         measured_bands("script", 1)), "known-bands")
     # one row per class; the nearest of the known bands of each
     classes = rows.select("band", "script", "length_class").distinct()
     apart = F.abs(F.col("length_class") - F.col("_class"))
-    order = ["_rank", apart, "_class"]
-    bands = classes.join(
-        known, ((F.col("_rank") == 0) & (F.col("band") == F.col("_key")))
-        | ((F.col("_rank") == 1) & (F.col("script") == F.col("_key"))),
-        "left").withColumn("_at", F.row_number().over(Window.partitionBy(
-            "band", "script", "length_class").orderBy(*order))).where(
-        "_at = 1").withColumn("_apart", apart.cast("double"))
+    order = [F.col("_rank").asc_nulls_last(), apart, "_class"]
+    near = [classes.join(known.where(F.col("_rank") == rank),
+                         F.col(key) == F.col("_key"), "left")
+            for rank, key in enumerate(("band", "script"))]
+    bands = near[0].union(near[1]).withColumn("_at", F.row_number().over(
+        Window.partitionBy("band", "script", "length_class").orderBy(*order))
+    ).where("_at = 1").withColumn("_apart", apart.cast("double"))
     bands = scratch.keep(bands, "bands")
     inside = F.lit(True)
     for m in MEASURES:

@@ -120,3 +120,75 @@ def test_small_classes_are_judged(spark, scratch):
     assert not got[901] and not got[903]
     small = kept(scratch, spark, rows[80:])  # nothing to learn from
     assert small == {900: True, 901: False, 902: True, 903: False}
+
+
+def test_quartiles_are_exact(spark):
+    rng = __import__("random").Random(12)
+    rows = [(f"k{rng.randrange(3)}", rng.randrange(2), *[
+        None if rng.random() < 0.1 else rng.uniform(0, 9) for _ in range(3)])
+        for _ in range(900)] + [("none", 0, None, None, None)]
+    table = spark.createDataFrame(
+        rows, "a string, b int, chars_per_token double, byte_share double, "
+        "token_entropy double").repartition(5)
+    got = {(r["a"], r["b"]): r for r in Q.quartiles(
+        table, ["a", "b"]).collect()}
+    for key in {r[:2] for r in rows}:
+        own = [r for r in rows if r[:2] == key]
+        assert got[key]["_n"] == len(own)
+        for i, m in enumerate(Q.MEASURES, 2):
+            values = sorted(round(r[i], 3) for r in own if r[i] is not None)
+            want = [values[-(-len(values) * q // 4) - 1] if values else None
+                    for q in (1, 3)]
+            assert got[key][f"_{m}"] == want
+
+
+def test_bands_equal_a_plain_computation(spark, scratch):
+    """Each class against its own quartiles, or those of the nearest class
+    of its language, of its script, or the fixed ones."""
+    rng = __import__("random").Random(21)
+    rows, n = [], 0
+    for lang, count, sizes in (("en", 150, (70, 200)), ("de", 40, (90,)),
+                               (None, 160, (80, 300)), ("ja", 5, (60,))):
+        for _ in range(count):
+            text = prose(rng, rng.choice(sizes))
+            if n % 13 == 0:
+                text += " \u16a0\u16b1" * rng.randrange(1, 40)
+            rows.append((n, text, lang, None))
+            n += 1
+    rows += [(5000 + i, rows[0][1], "en", None) for i in range(30)]
+    measured = Q.measure(helpers.documents(spark, rows))
+    got = {r["doc_id"]: r for r in Q.judge(scratch, measured).collect()}
+    facts = {r["doc_id"]: r for r in measured.collect()}
+
+    def size_class(r):
+        return max(r["n_words"], 1).bit_length() - 1
+    known = {}
+    for rank, key in ((0, "band"), (1, "script")):
+        groups = {}
+        for r in facts.values():
+            groups.setdefault((r[key], size_class(r)), {})[r["version"]] = r
+        for (name, size), own in groups.items():
+            if len(own) >= Q.MIN_DOCUMENTS:
+                known.setdefault((rank, name), {})[size] = {
+                    m: sorted(round(r[m], 3) for r in own.values())
+                    for m in Q.MEASURES}
+    assert len(known) >= 3
+    for doc, r in facts.items():
+        size, fits = size_class(r), True
+        bands = known.get((0, r["band"])) or known.get((1, r["script"]))
+        for m in Q.MEASURES:
+            if bands:
+                near = min(bands, key=lambda c: (abs(c - size), c))
+                values = bands[near][m]
+                low, high = (values[-(-len(values) * q // 4) - 1]
+                             for q in (1, 3))
+                reach = max((high - low) * Q.FENCE, Q.LEAST_REACH[m])
+                if m == "token_entropy":
+                    reach += abs(near - size)
+            else:
+                low, high = Q.FIXED_BANDS[m]
+                reach = 0
+            fits &= low - reach <= r[m] <= high + reach
+        failed = r["n_words"] < 50 or 2 * r["n_repeat_words"] > r["n_words"]
+        assert got[doc]["kept"] == (fits and not failed), doc
+    assert {r["kept"] for r in got.values()} == {True, False}
