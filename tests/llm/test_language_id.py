@@ -1,6 +1,8 @@
 import random
+import re
 
 import helpers
+import zstandard
 from pyspark.sql import functions as F
 
 from cadenza.llm import language_id as L
@@ -79,3 +81,47 @@ def test_sample_is_bounded_and_copies_count_once(spark):
     content = L.fit(docs).dictionaries["en"]
     assert len(content) <= L.DICTIONARY_BYTES
     assert content.count(b"the of and") <= 1
+
+
+def compressed(text, content):
+    """Bytes of the text's blocks, each compressed and read back."""
+    plain = re.sub(r"[\x00-@\[-`{-\x7f]+", " ", text.lower()).strip(
+        " ").encode()
+    total = 0
+    for at in range(0, len(plain), L.BLOCK_BYTES):
+        block = plain[at:at + L.BLOCK_BYTES]
+        words = zstandard.ZstdCompressionDict(
+            content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        made = zstandard.ZstdCompressor(
+            dict_data=words,
+            compression_params=zstandard.ZstdCompressionParameters.from_level(
+                L.LEVEL, source_size=L.BLOCK_BYTES, dict_size=len(content),
+                format=zstandard.FORMAT_ZSTD1_MAGICLESS,
+                write_content_size=False, write_checksum=False,
+                write_dict_id=False)).compress(block)
+        assert zstandard.ZstdDecompressor(
+            dict_data=words, format=zstandard.FORMAT_ZSTD1_MAGICLESS
+        ).decompress(made, max_output_size=L.BLOCK_BYTES) == block
+        total += len(made)
+    return total
+
+
+def test_every_text_against_every_dictionary(spark):
+    rng = random.Random(14)
+    rows = [(i, " ".join(rng.choice(WORDS[("en", "fr", "de")[i % 3]])
+                         for _ in range(rng.randrange(1, 2500))), None, None)
+            for i in range(60)]
+    rows += [(100, "Mixed: the of and, der die das; 42 le la les!", None,
+              None), (101, "Ünïcode 漢字 the of", None, None)]
+    model = L.fit(corpus(spark))
+    seen = set()
+    for r in L.identify(helpers.documents(spark, rows), model).collect():
+        sizes = {name: compressed(r["text"], content)
+                 for name, content in model.dictionaries.items()}
+        best, rest = sorted(sizes.values())[:2]
+        winner = next(n for n in model.dictionaries if sizes[n] == best)
+        assert r["lang_pred"] == winner
+        assert abs(r["score"] - (1 - best / rest)) < 1e-12
+        assert r["rejected"] == (1 - best / rest < model.min_margin)
+        seen.add((r["lang_pred"], r["rejected"]))
+    assert {name for name, _ in seen} == {"en", "fr", "de"}

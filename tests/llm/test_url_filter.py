@@ -1,4 +1,6 @@
 import math
+import random
+import re
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -85,3 +87,73 @@ def test_entropy_and_counts(spark):
         assert abs(r["f_entropy"] - want) < 1e-9
     row = [r for r in df.collect() if "q=2" in r["url"]][0]
     assert (row["f_parameters"], row["f_depth"], row["suffix1"]) == (2, 1, "x")
+
+
+def entropy(text):
+    size = len(text)
+    return -sum(c / size * math.log2(c / size)
+                for c in Counter(text).values()) if size else 0.0
+
+
+def features(url, shares, rate):
+    """The features of one url, in the order of FEATURES."""
+    host, path, _ = brute(url)
+    query = re.match(r"(?s)^[^?#]*\?([^#]*)", url)
+    query = query[1] if query else ""
+    labels = host.split(".")
+    row = [len(url), len(host), len(path), len(re.findall("/[^/]", path)),
+           host.count(".") + 1,
+           len(re.findall("[0-9]", url)) / max(1, len(url)),
+           len(re.findall("[0-9]", host)), host.count("-"), entropy(url),
+           entropy(host), query.count("&") + 1 if query else 0, "#" in url,
+           url.startswith("https")]
+    for name, suffix in (("suffix1", labels[-1]),
+                         ("suffix2", ".".join(labels[-2:]))):
+        n, blocked = shares[name].get(suffix, (0, 0.0))
+        row.append((blocked + U.PRIOR * rate) / (n + U.PRIOR))
+    return [float(v) for v in row]
+
+
+def test_verdicts_are_those_of_the_walked_trees(spark, scratch):
+    rng = random.Random(23)
+    urls = []
+    for i in range(600):
+        bad = i % 3 == 0
+        host = ".".join(rng.choice("ab9-xyz") * rng.randrange(1, 6)
+                        for _ in range(rng.randrange(1, 3)))
+        urls.append((f"http{'s' * (i % 2)}://{host}.{rng.choice(('biz', 'org')) if bad else rng.choice(('org', 'edu'))}"
+                     f"/{'/'.join(str(rng.randrange(99)) for _ in range(rng.randrange(4)))}"
+                     + ("?" + "&".join(f"k{j}={j}" for j in range(
+                         rng.randrange(5))) if bad else ""),
+                     float(bad if rng.random() < 0.9 else not bad)))
+    model = U.fit(scratch, spark.createDataFrame(
+        urls, "url string, label double"))
+    path = scratch.path("trees")
+    model.trees.write().save(path)
+    trees = {}
+    for r in spark.read.parquet(f"{path}/data").collect():
+        trees.setdefault(r["treeID"], {})[r["nodeData"]["id"]] = r["nodeData"]
+    shares = {s: {r[s]: (r[f"n_{s}"], r[f"sum_{s}"]) for r in t.collect()}
+              for s, t in model.suffixes.items()}
+    pages = [(i, u) for i, (u, _) in enumerate(urls)] + [
+        (1000 + i, u) for i, u in enumerate(URLS) if u]
+    verdicts = Counter()
+    for r in U.judge(spark.createDataFrame(
+            pages, "page_id bigint, url string"), model, []).collect():
+        row = features(dict(pages)[r["page_id"]], shares, model.rate)
+        margin = 0.0
+        for weight, (_, nodes) in zip(model.trees.treeWeights,
+                                      sorted(trees.items())):
+            at = nodes[0]
+            while at["leftChild"] >= 0:
+                split = at["split"]
+                left = row[split["featureIndex"]] <= split[
+                    "leftCategoriesOrThreshold"][0]
+                at = nodes[at["leftChild"] if left else at["rightChild"]]
+            margin += weight * at["prediction"]
+        probability = 1 / (1 + math.exp(-2 * margin))
+        assert abs(probability - r["probability"]) < 1e-9, r["page_id"]
+        assert r["verdict"] == ("block" if probability > U.THRESHOLD
+                                else "allow")
+        verdicts[r["verdict"]] += 1
+    assert len(verdicts) == 2
