@@ -131,9 +131,33 @@ def new_product_targets(main: DataFrame, products: DataFrame,
     launched = products.filter("is_new_product").groupBy("categorie").agg(
         F.array_join(F.sort_array(F.collect_list("code_article")), ",")
         .alias("new_products"), F.count("*").alias("n_new_products"))
+    return regular_buyers(main, min_orders).join(launched, "categorie")
+
+
+def new_product_rows(main: DataFrame, products: DataFrame,
+                     per_client: int = 5, min_orders: int = 3) -> DataFrame:
+    """The newest products of the categories that a client buys regularly.
+
+    One row per client and product, ``per_client`` at most: a category's
+    products are cut to as many before they meet its buyers, so that a
+    category full of launches does not multiply them.
+    """
+    newest = [F.asc("days_since_first_order"), F.asc("code_article")]
+    launched = products.filter("is_new_product").select(
+        "categorie", "code_article", "days_since_first_order",
+        F.row_number().over(Window.partitionBy("categorie").orderBy(*newest))
+        .alias("_n")).filter(F.col("_n") <= per_client).drop("_n")
+    rows = regular_buyers(main, min_orders).join(launched, "categorie")
+    order = Window.partitionBy("code_client").orderBy(
+        *newest[:1], F.desc("n_orders"), newest[1])
+    return rows.withColumn("rang", F.row_number().over(order)).filter(
+        F.col("rang") <= per_client)
+
+
+def regular_buyers(main: DataFrame, min_orders: int = 3) -> DataFrame:
+    """(client, category) with at least so many invoices."""
     orders = main.select("code_client", "categorie", "code_facture",
                          "societe").distinct()
-    regular = orders.groupBy("code_client", "categorie").agg(
+    return orders.groupBy("code_client", "categorie").agg(
         F.count("*").alias("n_orders")).filter(
         F.col("n_orders") >= min_orders)
-    return regular.join(launched, "categorie")

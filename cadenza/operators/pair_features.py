@@ -88,6 +88,31 @@ def cadence(main: DataFrame, reference_date: str) -> DataFrame:
             .drop("_first", "_last"))
 
 
+def line_gaps(main: DataFrame) -> DataFrame:
+    """Every line with its invoice, the day of the pair's line before it and
+    the gap in days.
+
+    Lines follow each other by day, quantity, invoice and company.  All but
+    the first line of a day follow one of the same day, so that a window has
+    to hold no more than a pair's lines of one day; the day before comes from
+    the pair's distinct days.
+    """
+    day = Window.partitionBy(*PAIR, "date_commande").orderBy(
+        "quantite", "code_facture", "societe")
+    days = main.select(*PAIR, "date_commande").distinct().withColumn(
+        "_before", F.lag("date_commande").over(
+            Window.partitionBy(*PAIR).orderBy("date_commande")))
+    placed = main.select(
+        *PAIR, "code_facture", "societe", "date_commande", "quantite",
+        F.row_number().over(day).alias("_place"))
+    previous = F.when(F.col("_place") > 1, F.col("date_commande")).otherwise(
+        F.col("_before"))
+    return placed.join(days, [*PAIR, "date_commande"]).select(
+        *PAIR, "code_facture", "societe", "date_commande", "quantite",
+        previous.alias("previous_date"),
+        F.datediff("date_commande", previous).alias("gap_days"))
+
+
 def gaps(main: DataFrame) -> DataFrame:
     """Previous quantity and gap in days of every line, with multiplicity.
 

@@ -314,18 +314,43 @@ def order_states(main: DataFrame) -> DataFrame:
 
 def state_before(main: DataFrame) -> DataFrame:
     """Narrow as-of: count, last quantity and last day before each visit day."""
+    return _narrow_states(main).drop("first_date")
+
+
+def _narrow_states(main: DataFrame) -> DataFrame:
     run = _running()
     rows = order_counts(main).withColumns({
         "frequency": F.sum("n").over(run),
+        "first_date": F.min("date_commande").over(run),
         "_until": F.lead("date_commande").over(_ordered()),
     }).filter(F.col("_until").isNull()
               | (F.col("_until") > F.col("date_commande")))
     states = rows.select(
         *PAIR, F.col("date_commande").alias("_day"), "_until", "frequency",
-        F.col("quantite").alias("last_qty"))
+        F.col("quantite").alias("last_qty"), "first_date")
     return _spread(states, _calendar(main, 1)).select(
         *PAIR, "visit_date", "frequency", "last_qty",
-        F.col("_day").alias("last_date"))
+        F.col("_day").alias("last_date"), "first_date")
+
+
+def timed_targets(main: DataFrame, min_history: int = C.MIN_HISTORY_LINES,
+                  min_appearances: int = C.MIN_PRODUCT_APPEARANCES,
+                  ) -> DataFrame:
+    """Targets with the relative recency alone: no median and no month sums
+    are built for it."""
+    states = _narrow_states(main).filter(
+        F.col("frequency") >= min_appearances)
+    gap = F.coalesce(gap_mean(F.col("first_date"), F.col("last_date"),
+                              F.col("frequency")), F.lit(C.DEFAULT_GAP_DAYS))
+    since = F.datediff("visit_date", "last_date").cast("double")
+    known = states.select(*PAIR, "visit_date", (since / F.greatest(
+        gap, F.lit(1.0))).alias("recency_relative"))
+    rows = eligible_visits(main, min_history).join(
+        known, ["code_client", "visit_date"]).join(
+        sold(main), [*VISIT, "code_article"], "left")
+    return rows.select(
+        *VISIT, *PAIR, "visit_date", "recency_relative",
+        F.col("_sold").isNotNull().cast("int").alias("target_bought"))
 
 
 def _first_names(counts: DataFrame) -> DataFrame:

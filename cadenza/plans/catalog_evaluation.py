@@ -13,7 +13,7 @@ from cadenza.sources.testbed import TRAIN_CUTOFF, VALIDATION_CUTOFF
 
 def _scores(t):
     """Label and a deterministic score: the closer to due, the higher."""
-    rows = t.visit_dataset()
+    rows = visits.timed_targets(t.main_stage())
     score = F.round(1 / (1 + F.col("recency_relative")) + 1e-9, 4)
     return rows.select(F.col("target_bought").alias("label"),
                        score.alias("score"))

@@ -38,6 +38,11 @@ def order_gaps(t):
     return as_long(pair_features.gaps(t.main()), "date_diff")
 
 
+@query
+def line_gaps(t):
+    return as_long(pair_features.line_gaps(t.main_stage()), "gap_days")
+
+
 @query
 def pair_cadence(t):
     return rounded(as_long(

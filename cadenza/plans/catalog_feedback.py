@@ -168,6 +168,15 @@ def cold_start_clients(t):
         coldstart.nearest(known, wanted), t.main_stage()), "rang")
 
 
+@query
+def cold_start_product_rows(t):
+    """Newest products for regular buyers of their category, row by row."""
+    return as_long(coldstart.new_product_rows(
+        t.main_stage(), entity_features.product_profile(
+            t.main_stage(), testbed.REFERENCE_DATE)),
+        "rang", "days_since_first_order")
+
+
 @query
 def cold_start_products(t):
     return coldstart.new_product_targets(

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from cadenza.functions import quantities as qty
-from cadenza.operators import entity_features, proposals as pr, ranking as rk
+from cadenza.operators import (entity_features, proposals as pr,
+                               ranking as rk, visits)
 from cadenza.plans.registry import as_long, query, rounded
 from cadenza.sources.testbed import table
 
@@ -19,8 +20,7 @@ def latest_snapshot(t):
 @query
 def clients_directory(t):
     main = t.main_stage()
-    rows = t.visit_dataset().select("code_client", "code_article",
-                                    "target_bought")
+    rows = visits.targets(main)
     profile = entity_features.client_profile(main).join(
         entity_features.client_geo(main), "code_client", "left")
     return rounded(rk.clients_directory(rows, profile=profile), "avg_basket")

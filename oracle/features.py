@@ -218,6 +218,14 @@ FROM (
                ORDER BY date_commande, quantite))
 GROUP BY ALL"""
 
+SQL["line_gaps"] = """
+SELECT code_client, code_article, code_facture, societe, date_commande,
+  quantite, lag(date_commande) OVER w AS previous_date,
+  date_diff('day', lag(date_commande) OVER w, date_commande) AS gap_days
+FROM main
+WINDOW w AS (PARTITION BY code_client, code_article
+             ORDER BY date_commande, quantite, code_facture, societe)"""
+
 SQL["pair_cadence"] = """
 SELECT code_client, code_article, frequency, recency_days,
   round(avg_delay_days, 4) AS avg_delay_days,

@@ -132,6 +132,18 @@ SELECT * FROM (
                     FROM main GROUP BY ALL) m ON m.code_client = n.neighbour
   GROUP BY n.code_client, m.code_article)
 WHERE rang <= 5"""
+SQL["cold_start_product_rows"] = """
+SELECT * FROM (SELECT r.code_client, r.categorie, r.n_orders, p.code_article,
+    p.days_since_first_order::BIGINT AS days_since_first_order,
+    row_number() OVER (PARTITION BY r.code_client
+      ORDER BY p.days_since_first_order, r.n_orders DESC, p.code_article)
+      AS rang
+  FROM (SELECT code_client, categorie,
+          count(DISTINCT (code_facture, societe)) AS n_orders
+        FROM main GROUP BY ALL
+        HAVING count(DISTINCT (code_facture, societe)) >= 3) r
+  JOIN product_profile_sql p USING (categorie) WHERE p.is_new_product)
+WHERE rang <= 5"""
 SQL["cold_start_products"] = """
 SELECT r.code_client, r.categorie, r.n_orders, l.new_products,
   l.n_new_products
