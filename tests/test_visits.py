@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadenza.constants import SEASON_COEFFICIENTS
-from cadenza.operators import increments, pair_features, visits
+from cadenza.operators import increments, pair_features, ranking, visits
 from cadenza.session import write_and_read
 
 
@@ -189,3 +189,27 @@ def test_an_increment_does_not_read_old_lines(spark, lines, main):
         assert r._lines == n == sum(e.n for e in r._hist)
         assert sum(e.n for e in r._tail) == n - n // 2
         assert len({e.q for e in r._hist}) == len(r._hist)
+
+
+def test_latest_rows_are_counted_without_building_all_visits(spark, main):
+    """The last rows and reorder rates of the whole set, undated and long
+    minimum histories included, from a plan that spreads nothing."""
+    rows = write_and_read(main.withColumn("date_commande", F.when(
+        F.pmod(F.xxhash64("code_article", "date_commande"), F.lit(9)) > 0,
+        F.col("date_commande"))), "undated")
+    for n in (1, 2, 3):
+        whole = ranking.latest_with_rate(visits.visit_dataset(
+            rows, min_appearances=n))
+        latest = visits.latest_dataset(rows, write_and_read,
+                                       min_appearances=n)
+        plan = latest._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan
+        short = ranking.latest_with_rate(latest)
+        assert sorted(short.columns) == sorted(whole.columns)
+        want, got = [{(r.code_client, r.code_article): r for r in d.select(
+            short.columns).collect()} for d in (whole, short)]
+        assert set(got) == set(want) and len(want) > 10
+        for key, r in want.items():
+            for mine, theirs in zip(got[key], r):
+                assert mine == (pytest.approx(theirs) if isinstance(
+                    theirs, float) else theirs), key
