@@ -97,6 +97,40 @@ def test_minimum_appearances(main, lines):
     assert visits.visit_dataset(main, min_appearances=2).count() == want
 
 
+@pytest.mark.parametrize("known", [1, 2])
+def test_bought_rows_are_those_of_the_whole_set(main, known):
+    whole = visits.visit_dataset(main, min_appearances=known)
+    own = visits.visit_dataset(main, min_appearances=known, bought=True)
+    want = sorted(map(str, whole.filter("target_bought = 1").collect()))
+    assert want and sorted(map(str, own.collect())) == want
+
+
+def test_bought_rows_are_built_without_the_others(spark, main):
+    """States meet the sales of their pair, not the client's days."""
+    text = visits.visit_dataset(main, bought=True)._jdf.queryExecution(
+    ).optimizedPlan().toString()
+    assert "explode" not in text
+
+
+def test_bought_rows_of_mixed_invoices_and_lines_without_day(spark):
+    """Invoices of several days, copies, lines without a day."""
+    rng, rows = random.Random(3), []
+    for i in range(400):
+        day = rng.choice([None] + [dt.date(2024, 1, d) for d in range(1, 15)])
+        rows.append((f"C{rng.randrange(3)}", f"P{rng.randrange(4)}",
+                     f"F{rng.randrange(60)}", "CO1", day,
+                     float(rng.randrange(1, 9)), day and day.month, "CAT",
+                     "name"))
+    table = spark.createDataFrame(
+        rows, "code_client string, code_article string, code_facture string,"
+        " societe string, date_commande date, quantite double, mois int, "
+        "categorie string, designation string")
+    whole = visits.visit_dataset(table)
+    want = sorted(map(str, whole.filter("target_bought = 1").collect()))
+    assert want and sorted(map(str, visits.visit_dataset(
+        table, bought=True).collect())) == want
+
+
 def test_gaps_keep_every_line(main, lines):
     rows = pair_features.gaps(main).collect()
     assert sum(r.n_lines for r in rows) == len(lines)
