@@ -1,6 +1,8 @@
 """Data that the test tables do not hold: returns beside sales, fractions,
 many companies, late months, long codes, other years."""
 
+import datetime as dt
+import random
 import statistics
 
 import pytest
@@ -126,3 +128,28 @@ def test_ranks_with_any_number_of_ranges(spark, ranges):
     rows = sorted((r["v"], r["id"]) for r in got)
     assert sorted((r["r"], r["v"], r["id"]) for r in got) == [
         (i, v, k) for i, (v, k) in enumerate(rows, 1)]
+
+
+def test_middle_and_last_quantity_of_any_history(spark):
+    """Equal lines, one line, null days and null quantities among them."""
+    rng = random.Random(4)
+    rows = [("C1", f"P{p}", None if rng.random() < 0.1 else
+             dt.date(2024, 1, 1 + rng.randrange(30)), None if p == 7 and rng.random() < 0.5 else float(
+        rng.randrange(1, 6)), rng.choice(("CO1", "CO2")))
+        for p in range(30) for _ in range(rng.randrange(1, 9))]
+    main = spark.createDataFrame(
+        rows, "code_client string, code_article string, date_commande date, "
+        "quantite double, societe string")
+    lines = {}
+    for _, product, date, q, company in rows:
+        lines.setdefault(product, []).append((
+            (date is not None, date or 0), (q is not None, q or 0), company))
+    codes = {"CO1": 1, "CO2": 2}
+    for r in pair_features.pair_matrix(main, "2024-12-31", codes).collect():
+        own = lines[r["code_article"]]
+        known = [q for _, (there, q), _ in own if there]
+        assert r["median_qty"] == (statistics.median(known) if known else None)
+        there, last = max(line[:2] for line in own)[1]
+        assert r["last_qty"] == (last if there else None)
+        first = min((date, company) for date, _, company in own)[1]
+        assert r["company_encoded"] == codes[first]

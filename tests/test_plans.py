@@ -1,5 +1,7 @@
 """Physical plans the jobs rely on at scale."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from cadenza.operators import (cleaning, pair_features, ranking as rk,
@@ -72,3 +74,20 @@ def test_visit_features_read_pairs_as_they_lie(spark):
     assert text.count("Exchange hashpartitioning") <= 5
     assert text.count("Exchange hashpartitioning(code_client") <= 4
     assert "collect_list" in text and dataset.count() > 0
+
+
+def test_pair_matrix_is_compiled(spark):
+    """Methods over 8,000 bytes of byte code are interpreted by the JVM, and
+    an aggregate of a map per pair leaves generated code altogether."""
+    df = pair_features.pair_matrix(
+        Tables(spark, FOLDER).main_stage(), "2001-08-02")
+    # an adaptive plan generates its code only when it runs
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = spark._jvm.PythonSQLUtils.explainString(
+            df.select("*")._jdf.queryExecution(), "codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+    assert sizes and max(sizes) < 8000, sizes
+    assert "ObjectHashAggregate" not in plan(df)
