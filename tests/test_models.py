@@ -162,3 +162,30 @@ def test_cut_model_equals_the_one_fitted_so_far(spark, tmp_path):
     short.write().save(str(tmp_path / "short"))
     assert guesses(type(short).load(str(tmp_path / "short"))) == guesses(
         short)
+
+
+def test_staged_counts_equal_sums_of_leaves_row_by_row(spark):
+    """Many rounds over many rows: lists of margins, grown row by row, took
+    work in the square of the rounds."""
+    rows = spark.range(30000, numPartitions=2).selectExpr(
+        "double(id % 17) AS a", "double(hash(id) % 50) AS b",
+        "double(if(id % 17 > 9, hash(id, 1) % 4 <> 0, hash(id, 2) % 5 = 0)) "
+        "AS label")
+    data = VectorAssembler(inputCols=["a", "b"],
+                           outputCol="features").transform(rows)
+    model = GBTClassifier(maxIter=7, maxDepth=3, stepSize=0.3, seed=1).fit(
+        data)
+    got = {(r["round"], r["bin"]): (r["pos"], r["n"]) for r in
+           boosting.staged_counts(model, data, bins=64).collect()}
+    want = {}
+    for rounds in range(1, 8):
+        for r in boosting.cut(model, rounds).transform(data).select(
+                "label", vector_to_array("probability")[1].alias("p")
+                ).collect():
+            at = rounds, min(int(64 * r["p"]), 63)
+            pos, n = want.get(at, (0, 0))
+            want[at] = pos + r["label"], n + 1
+    assert got == want
+    plan = boosting.staged_counts(
+        model, data)._jdf.queryExecution().toString()
+    assert "array_append" not in plan and "posexplode" not in plan
