@@ -255,14 +255,16 @@ def meet(anchors: DataFrame, blocks: DataFrame, settings: Settings,
          width: int, work, names: list[str]) -> DataFrame:
     """Rows of longs that ``work`` gives for each pair of blocks.
 
-    Blocks of rows are dealt to lanes, and blocks of anchors go to each.
+    Blocks of rows are dealt to lanes, and blocks of anchors go to each.  The
+    join shuffles both: the optimizer takes the copies of the anchors for no
+    larger than the anchors, and would send all of them through the driver.
     """
     lanes = int(anchors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left = anchors.select(F.struct(*anchors.columns).alias("a"), F.explode(
         F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"))
     right = blocks.select(F.struct(*blocks.columns).alias("b"), F.pmod(
         F.xxhash64("row"), F.lit(lanes)).cast("int").alias("lane"))
-    pairs = right.join(left, "lane").select("a.*", *[
+    pairs = right.join(left.hint("merge"), "lane").select("a.*", *[
         F.col(f"b.{c}").alias(f"b_{c}") for c in blocks.columns])
     cuts, half = settings.segments, len(blocks.columns)
 

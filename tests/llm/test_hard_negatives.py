@@ -112,3 +112,15 @@ def test_only_finite_vectors_become_integers(spark):
     got = {r["i"]: r["x"] for r in vectors.integer_vectors(
         df, "v", "x", 256, {"i": F.col("i")}).collect()}
     assert got == {1: [128, -1], 7: [], 8: [0, 2 ** 63 - 1]}
+
+
+def test_copies_of_anchors_are_not_broadcast(spark):
+    """Each lane gets all blocks of anchors, which the optimizer takes for no
+    more than one copy of them."""
+    row = spark.sql("SELECT 0L AS row, 1 AS n, " + ", ".join(
+        f"X'00' AS {c}" for c in ("ids", "row_ids", "labels", "x", "summary",
+                                  "extra")))
+    met = H.meet(row, row, H.Settings(), 1,
+                 lambda a, b, s: [], ["a"])
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
