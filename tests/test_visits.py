@@ -247,3 +247,58 @@ def test_latest_rows_are_counted_without_building_all_visits(spark, main):
             for mine, theirs in zip(got[key], r):
                 assert mine == (pytest.approx(theirs) if isinstance(
                     theirs, float) else theirs), key
+
+
+def rows_of(df):
+    return sorted(df.collect(), key=lambda r: tuple(map(str, r[:4])))
+
+
+def test_visits_apart_give_the_same_rows(spark, main, monkeypatch):
+    """Days with many visits, and invoices of several days or clients, are
+    joined; others are found in the calendar."""
+    built = rows_of(visits.visit_dataset(main))
+    asked = rows_of(visits.targets(main))
+    assert visits.place_visits(main).apart is None
+    monkeypatch.setattr(visits, "DAY_VISITS", 0)
+    assert visits.place_visits(main).apart.count() == 60
+    assert rows_of(visits.visit_dataset(main)) == built
+    assert rows_of(visits.targets(main)) == asked
+
+
+def test_invoice_of_two_days_keeps_its_sales(spark, main):
+    """It stands on its first day, with what it sold on both."""
+    line = main.filter("code_client = 'C0'").orderBy(
+        F.desc("date_commande")).limit(1)
+    first, number = line.first(), F.lit("F-two")
+    more = line.unionByName(line.withColumn("date_commande", F.date_add(
+        "date_commande", 1))).withColumn("code_facture", number)
+    rows = visits.targets(main.unionByName(more)).filter(
+        F.col("code_facture") == number).collect()
+    sold = {r.code_article: r.target_qty for r in rows if r.target_bought}
+    assert {r.visit_date for r in rows} == {first.date_commande}
+    assert sold == {first.code_article: 2 * first.quantite}
+
+
+def test_built_rows_are_not_shuffled(main):
+    """Rows of the training set move only as states of a pair, by client."""
+    for built in (visits.visit_dataset(main), visits.targets(main)):
+        plan = built._jdf.queryExecution().executedPlan().toString()
+        assert "visit_date" not in "".join(
+            line for line in plan.splitlines()
+            if "Exchange hashpartitioning(code_client" in line
+            and "code_article" not in line.split("ENSURE")[0])
+        assert "hashpartitioning(code_facture" not in plan
+
+
+def test_targets_are_the_sales_of_candidates(spark, main):
+    """Also of lines without a day, of several quantities."""
+    undated = main.filter("code_article = 'P0'").withColumns({
+        "date_commande": F.lit(None).cast("date"), "code_facture": F.concat(
+            F.lit("N"), "code_facture")})
+    for lines in (main, main.unionByName(undated)):
+        want = visits.candidates(lines).join(visits.sold(lines), [
+            *visits.VISIT, "code_article"], "left").select(
+            *visits.VISIT, *pair_features.PAIR, "visit_date",
+            F.col("_sold").isNotNull().cast("int").alias("target_bought"),
+            F.coalesce("_sold", F.lit(0.0)).alias("target_qty"))
+        assert rows_of(visits.targets(lines)) == rows_of(want)
