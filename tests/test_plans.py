@@ -1,11 +1,13 @@
 """Physical plans the jobs rely on at scale."""
 
+import os
 import re
 
 from pyspark.sql import functions as F
 
-from cadenza.operators import (cleaning, pair_features, ranking as rk,
-                               visits)
+from cadenza.operators import (cleaning, evaluation, pair_features,
+                               ranking as rk, visits)
+from cadenza.plans import tables as tables_module
 from cadenza.plans.catalog import QUERIES
 from cadenza.plans.tables import Tables
 from cadenza.session import write_and_read
@@ -91,3 +93,40 @@ def test_pair_matrix_is_compiled(spark):
     sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)]
     assert sizes and max(sizes) < 8000, sizes
     assert "ObjectHashAggregate" not in plan(df)
+
+
+def test_leak_check_reduces_rows_to_clients(spark):
+    rows = spark.createDataFrame([
+        ("A", "2024-01-01", "train"), ("A", "2024-03-01", "test"),
+        ("B", "2024-01-02", "train"), ("C", "2024-02-01", "validation"),
+        (None, "2024-01-01", "train"), (None, "2024-03-02", "test")],
+        "code_client string, visit_date string, part string")
+    found = evaluation.leak_check(rows)
+    assert tuple(found.first()) == (
+        "2024-01-02", "2024-02-01", "2024-03-01", 2)
+    assert "Join" not in plan(found)
+
+
+def test_regressor_rows_need_no_training_set(spark):
+    tables = Tables(spark, FOLDER)
+    columns = ["code_facture", "societe", "code_client", "code_article",
+               "target_qty", "avg_qty", "median_qty"]
+    rows = sorted(tables.bought_rows().select(columns).collect())
+    assert rows and "training-set" not in tables._stages
+    assert rows == sorted(visits.positives(
+        tables.dataset_stage()).select(columns).collect())
+    assert rows == sorted(tables.bought_rows().select(columns).collect())
+
+
+def test_lines_go_when_the_main_table_is_written(spark, monkeypatch):
+    written = []
+
+    def keep(df, name):
+        written.append(write_and_read(df, name))
+        return written[-1]
+    monkeypatch.setattr(tables_module, "write_and_read", keep)
+    main = Tables(spark, FOLDER).main_stage()
+    assert len(written) == 3 and main.count() > 0
+    left = [f for t in written[:2] for f in t.inputFiles()
+            if os.path.exists(f.removeprefix("file:"))]
+    assert left == []
