@@ -117,9 +117,9 @@ def test_only_finite_vectors_become_integers(spark):
 def test_copies_of_anchors_are_not_broadcast(spark):
     """Each lane gets all blocks of anchors, which the optimizer takes for no
     more than one copy of them."""
-    row = spark.sql("SELECT 0L AS row, 1 AS n, " + ", ".join(
+    row = spark.range(2).selectExpr("id AS row", "1 AS n", *[
         f"X'00' AS {c}" for c in ("ids", "row_ids", "labels", "x", "summary",
-                                  "extra")))
+                                  "extra")])
     met = H.meet(row, row, H.Settings(), 1,
                  lambda a, b, s: [], ["a"])
     plan = met._jdf.queryExecution().executedPlan().toString()
